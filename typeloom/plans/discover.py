@@ -1,0 +1,184 @@
+"""Discovery from end to end."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from typeloom.functions.sizing import pin
+from typeloom.model import PropertyGraph
+from typeloom.operators.cardinality import (
+    annotate_cardinality,
+    cardinalities_of_pairs,
+    distinct_pairs,
+)
+from typeloom.operators.census import property_census
+from typeloom.operators.cluster import METHODS, cluster
+from typeloom.operators.evaluate import (
+    edge_eval_rows,
+    evaluate_edges,
+    evaluate_nodes,
+    node_eval_rows,
+)
+from typeloom.operators.infer import (
+    SAMPLE_VALUES,
+    annotate_types,
+    infer_types_sample,
+    infer_types_stats,
+)
+from typeloom.operators.merge import (
+    EDGE_KEYS,
+    JACCARD_THRESHOLD,
+    MergedTypes,
+    assign_edges,
+    assign_nodes,
+    merge_edges,
+    merge_nodes,
+)
+from typeloom.operators.patterns import edge_patterns, node_patterns
+from typeloom.operators.render import render_pg_loose, render_pg_strict, render_xsd
+from typeloom.sources.documents import write_lines
+
+
+@dataclass
+class Schema:
+    """A discovered schema; every member is a lazy DataFrame.
+
+    ``edge_types`` unites edges of equal type, as the documents need it;
+    ``edge_types_by_ends`` keeps different end points apart, as scoring does.
+    """
+
+    node_types: DataFrame
+    edge_types: DataFrame
+    edge_types_by_ends: DataFrame
+    typed_node_patterns: DataFrame
+    typed_edge_patterns: DataFrame
+    graph: PropertyGraph | None = None
+    pinned: list[DataFrame] = field(default_factory=list)
+
+    def pg_loose(self, **options) -> DataFrame:
+        return render_pg_loose(self.node_types, self.edge_types, **options)
+
+    def pg_strict(self, **options) -> DataFrame:
+        return render_pg_strict(self.node_types, self.edge_types, **options)
+
+    def xsd(self, **options) -> DataFrame:
+        return render_xsd(self.node_types, self.edge_types, **options)
+
+    def export(self, folder: str) -> None:
+        """Write the three documents below a folder."""
+        write_lines(self.pg_loose(), f"{folder}/pg_schema_loose")
+        write_lines(self.pg_strict(), f"{folder}/pg_schema_strict")
+        write_lines(self.xsd(), f"{folder}/schema_xsd")
+
+    def _graph(self) -> PropertyGraph:
+        if self.graph is None:
+            raise ValueError("this schema was made without its graph")
+        return self.graph
+
+    def node_assignment(self, nodes: DataFrame | None = None) -> DataFrame:
+        """Nodes with ``type_id``."""
+        nodes = self._graph().nodes if nodes is None else nodes
+        return assign_nodes(nodes, self.typed_node_patterns)
+
+    def edge_assignment(self, edges: DataFrame | None = None) -> DataFrame:
+        """Edges with ``type_id`` (types by end points)."""
+        edges = self._graph().labeled_edges() if edges is None else edges
+        return assign_edges(edges, self.typed_edge_patterns)
+
+    def evaluate(self) -> DataFrame:
+        """Scores of nodes and edges against the known labels, two rows."""
+        nodes = evaluate_nodes(node_eval_rows(self.node_assignment(), self.node_types))
+        edges = evaluate_edges(edge_eval_rows(self.edge_assignment(), self.edge_types_by_ends))
+        return nodes.withColumn("element", F.lit("node")).unionByName(
+            edges.withColumn("element", F.lit("edge"))
+        )
+
+    def close(self) -> None:
+        for df in self.pinned:
+            df.unpersist()
+        self.pinned.clear()
+
+
+def merge_all(
+    nodes: DataFrame,
+    edges: DataFrame,
+    method: str,
+    threshold: float,
+    split_labels: bool,
+    options: dict,
+) -> tuple[MergedTypes, MergedTypes, MergedTypes]:
+    """Node types, edge types by type, edge types by end points of pattern tables."""
+    # merging refers to the clusters many times: compute and plan them once
+    node_clusters = pin(cluster(nodes, method, **options))
+    edge_clusters = pin(cluster(edges, method, **options))
+    return (
+        merge_nodes(
+            node_clusters,
+            absorb=method != "kmeans",
+            threshold=threshold,
+            split_labels=split_labels,
+        ),
+        merge_edges(edge_clusters, ("type",)),
+        merge_edges(edge_clusters, EDGE_KEYS),
+    )
+
+
+def discover(
+    graph: PropertyGraph,
+    method: str = "lsh",
+    threshold: float = JACCARD_THRESHOLD,
+    split_labels: bool = False,
+    types: str = "sample",
+    sample: int = SAMPLE_VALUES,
+    **options,
+) -> Schema:
+    """Schema of a graph by ``lsh``, ``minhash`` or ``kmeans``.
+
+    The elements are read once each for patterns, values and distinct pairs;
+    clustering and merging see the pinned pattern tables only.  ``types`` says
+    whether datatypes come from a ``sample`` or from ``all`` values.
+    """
+    node_pat = pin(node_patterns(graph.nodes))
+    edge_pat = pin(edge_patterns(graph.labeled_edges()))
+    nodes, edges, by_ends = merge_all(
+        node_pat, edge_pat, method, threshold, split_labels, options
+    )
+
+    def dtypes(elements: DataFrame, patterns: DataFrame) -> DataFrame:
+        if types == "all":
+            return infer_types_stats(elements)
+        totals = property_census(patterns).withColumnRenamed("n", "total")
+        return infer_types_sample(elements, sample, totals=totals)
+
+    if types not in ("sample", "all"):
+        raise ValueError("types is 'sample' or 'all'")
+    node_dtypes = dtypes(graph.nodes, node_pat)
+    edge_dtypes = dtypes(graph.edges, edge_pat)
+    found = cardinalities_of_pairs(distinct_pairs(graph.edges))
+    return Schema(
+        node_types=annotate_types(nodes.types, node_dtypes),
+        edge_types=annotate_cardinality(annotate_types(edges.types, edge_dtypes), found),
+        edge_types_by_ends=annotate_types(by_ends.types, edge_dtypes),
+        typed_node_patterns=nodes.typed,
+        typed_edge_patterns=by_ends.typed,
+        graph=graph,
+        pinned=[node_pat, edge_pat],
+    )
+
+
+def discover_all(
+    graph: PropertyGraph, methods: Sequence[str] = METHODS, **options
+) -> DataFrame:
+    """Scores of every method, one row per method and element kind."""
+    rows = [
+        discover(graph, method, **options).evaluate().withColumn("method", F.lit(method))
+        for method in methods
+    ]
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more)
+    return out
