@@ -164,6 +164,10 @@ def _embedding_coefficients(patterns: DataFrame, tables: int, seed: int) -> list
     ]
 
 
+def _longs(values: list[int]) -> str:
+    return f"array({', '.join(f'{v}L' for v in values)})"
+
+
 def _bucket_widths(
     patterns: DataFrame, bucket: float, coefficients: list[list[int]], seed: int
 ) -> DataFrame:
@@ -172,28 +176,30 @@ def _bucket_widths(
     A projection is measured in lengths of its coefficient vector, whose bit
     part covers every property name in use.
     """
+    own = _longs([sum(c * c for c in row) for row in coefficients])
+    tables = F.sequence(F.lit(0), F.lit(len(coefficients) - 1))
     names = patterns.select(F.explode("prop_set").alias("name")).distinct()
-    squares = [
-        F.coalesce(F.sum(F.pow(_bit_coefficient(seed, F.col("name"), F.lit(t)), 2)), F.lit(0.0))
-        for t in range(len(coefficients))
-    ]
-    widths = [
-        F.greatest(
-            F.lit(1).cast("bigint"),
-            F.round(F.sqrt(sq + F.lit(float(sum(c * c for c in row)))) * (bucket * SCALE)).cast(
-                "bigint"
-            ),
+    bits = (
+        names.select("name", F.explode(tables).alias("t"))
+        .withColumn("c", _bit_coefficient(seed, F.col("name"), F.col("t")))
+        .groupBy("t")
+        .agg(F.sum(F.col("c") * F.col("c")).alias("square"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("t", "square"))).alias("squares"))
+    )
+
+    def width(t: Column) -> Column:
+        square = F.coalesce(F.try_element_at("squares", t), F.lit(0).cast("bigint"))
+        length = F.sqrt(square + F.element_at(F.expr(own), t + 1))
+        return F.greatest(
+            F.lit(1).cast("bigint"), F.round(length * F.lit(bucket * SCALE)).cast("bigint")
         )
-        for sq, row in zip(squares, coefficients)
-    ]
-    return names.agg(F.array(*widths))
+
+    return bits.select(F.transform(tables, width))
 
 
 def _hashed_projection(patterns: DataFrame, bucket: float, tables: int, seed: int) -> DataFrame:
     coefficients = _embedding_coefficients(patterns, tables, seed)
-    table_rows = F.array(
-        *[F.array(*[F.lit(c).cast("bigint") for c in row]) for row in coefficients]
-    )
+    table_rows = F.expr(f"array({', '.join(_longs(row) for row in coefficients)})")
     zero = F.lit(0).cast("bigint")
     widths = _bucket_widths(patterns, bucket, coefficients, seed)
 
@@ -282,20 +288,19 @@ def cluster_minhash(
         ).fit(features)
         return _by_hash_vectors(model.transform(features), tables)
     codes = F.transform(_tokens(patterns), lambda t: code32(t) % F.lit(PRIME))
-    minima = []
-    for t in range(tables):
-        a = code32_of(f"{seed}|a|{t}") % (PRIME - 1) + 1
-        b = code32_of(f"{seed}|b|{t}") % PRIME
-        lowest = F.array_min(
-            F.transform(
-                "codes", lambda h, a=a, b=b: (h * F.lit(a).cast("bigint") + F.lit(b)) % F.lit(PRIME)
-            )
-        )
-        minima.append(F.coalesce(lowest, F.lit(-1)).cast("string"))
+    factors = _longs([code32_of(f"{seed}|a|{t}") % (PRIME - 1) + 1 for t in range(tables)])
+    shifts = _longs([code32_of(f"{seed}|b|{t}") % PRIME for t in range(tables)])
+    zipped = F.zip_with(
+        F.expr(factors), F.expr(shifts), lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    )
+    lowest = F.expr(
+        f"transform(table_codes, t -> coalesce("
+        f"array_min(transform(codes, h -> (h * t.a + t.b) % {PRIME}L)), -1L))"
+    )
     return (
-        patterns.withColumn("codes", codes)
-        .withColumn("cluster_id", F.md5(F.concat_ws(",", *minima)))
-        .drop("codes")
+        patterns.withColumns({"codes": codes, "table_codes": zipped})
+        .withColumn("cluster_id", F.md5(F.array_join(lowest.cast("array<string>"), ",")))
+        .drop("codes", "table_codes")
     )
 
 
@@ -307,8 +312,14 @@ def cluster_kmeans(
 ) -> DataFrame:
     """k-means clusters of the patterns, weighted by their counts."""
     features = assemble(patterns, embedding, 42)
+    # the block solver fails on fewer than k distinct vectors, the row solver does not
     model = KMeans(
-        k=k, seed=seed, featuresCol="features", predictionCol="cluster", weightCol="n"
+        k=k,
+        seed=seed,
+        solver="row",
+        featuresCol="features",
+        predictionCol="cluster",
+        weightCol="n",
     ).fit(features.withColumn("n", F.col("n").cast("double")))
     return (
         model.transform(features)

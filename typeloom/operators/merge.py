@@ -8,6 +8,9 @@ clustered pattern table and give
 
 Counts are sums over patterns, so a property is mandatory exactly when as many
 elements have it as the type has, and merging types is adding counts.
+
+``typed`` is pinned: it has a row per pattern, and all tables of types and
+every assignment start from it.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import functions as F
 
 from typeloom.functions.hashing import joined, key_of
 from typeloom.functions.labels import clean_set
-from typeloom.functions.sizing import bounded_lookup
+from typeloom.functions.sizing import bounded_lookup, pin
 from typeloom.operators.patterns import edge_pattern_id, node_pattern_id, normal_edges, normal_nodes
 from typeloom.operators.setjoin import connected_components, jaccard_pairs
 
@@ -199,7 +202,7 @@ def merge_nodes(
     else:
         rest = unlabeled_clusters(clustered)
         membership = membership.unionByName(abstract_types(clustered, rest.limit(0)))
-    typed = _typed(clustered, membership)
+    typed = pin(_typed(clustered, membership))
     return MergedTypes(_type_rows(typed), typed)
 
 
@@ -237,7 +240,7 @@ def merge_edges(
         key_of(F.lit("E"), *parts)
     )
     membership = groups.select("cluster_id", "edge_types", type_id.alias("type_id"))
-    typed = clustered.join(membership, "cluster_id")
+    typed = pin(clustered.join(membership, "cluster_id"))
     types = typed.groupBy("type_id").agg(
         F.first("edge_types").alias("edge_types"),
         clean_set(F.collect_set("src_key")).alias("src_labels"),

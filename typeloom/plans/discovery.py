@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,7 +45,9 @@ from typeloom.sources.documents import write_lines
 
 @dataclass
 class Schema:
-    """A discovered schema; every member is a lazy DataFrame.
+    """A discovered schema.
+
+    Its tables hold types and patterns; elements are read by the assignments.
 
     ``edge_types`` unites edges of equal type, as the documents need it;
     ``edge_types_by_ends`` keeps different end points apart, as scoring does.
@@ -57,7 +59,6 @@ class Schema:
     typed_node_patterns: DataFrame
     typed_edge_patterns: DataFrame
     graph: PropertyGraph | None = None
-    pinned: list[DataFrame] = field(default_factory=list)
 
     def pg_loose(self, **options) -> DataFrame:
         return render_pg_loose(self.node_types, self.edge_types, **options)
@@ -97,11 +98,6 @@ class Schema:
             edges.withColumn("element", F.lit("edge"))
         )
 
-    def close(self) -> None:
-        for df in self.pinned:
-            df.unpersist()
-        self.pinned.clear()
-
 
 def merge_all(
     nodes: DataFrame,
@@ -159,14 +155,27 @@ def discover(
     node_dtypes = dtypes(graph.nodes, node_pat)
     edge_dtypes = dtypes(graph.edges, edge_pat)
     found = cardinalities_of_pairs(distinct_pairs(graph.edges))
+    return assemble_schema(nodes, edges, by_ends, node_dtypes, edge_dtypes, found, graph)
+
+
+def assemble_schema(
+    nodes: MergedTypes,
+    edges: MergedTypes,
+    by_ends: MergedTypes,
+    node_dtypes: DataFrame,
+    edge_dtypes: DataFrame,
+    found: DataFrame,
+    graph: PropertyGraph | None = None,
+) -> Schema:
+    """Annotated types; all tables of the schema are small and computed once."""
+    edge_dtypes = pin(edge_dtypes)
     return Schema(
-        node_types=annotate_types(nodes.types, node_dtypes),
-        edge_types=annotate_cardinality(annotate_types(edges.types, edge_dtypes), found),
-        edge_types_by_ends=annotate_types(by_ends.types, edge_dtypes),
+        node_types=pin(annotate_types(nodes.types, node_dtypes)),
+        edge_types=pin(annotate_cardinality(annotate_types(edges.types, edge_dtypes), found)),
+        edge_types_by_ends=pin(annotate_types(by_ends.types, edge_dtypes)),
         typed_node_patterns=nodes.typed,
         typed_edge_patterns=by_ends.typed,
         graph=graph,
-        pinned=[node_pat, edge_pat],
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from typeloom.model import PropertyGraph
 from typeloom.operators.noise import drop_labels, drop_properties
-from typeloom.plans.discover import discover
+from typeloom.plans.discovery import discover
 from typeloom.sources.wide import union_all
 
 # The usual grid of noise levels and label loss.
