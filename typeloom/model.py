@@ -15,6 +15,7 @@ nodes by :func:`endpoint_labels`, so that a change of node labels shows.
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,12 +69,16 @@ class PropertyGraph:
         object.__setattr__(self, "nodes", with_prop_set(self.nodes))
         object.__setattr__(self, "edges", with_prop_set(self.edges))
 
-    def labeled_edges(self) -> DataFrame:
-        """Edges with the labels of their end points."""
+    @cached_property
+    def _labeled(self) -> DataFrame:
         if {"src_labels", "dst_labels"} <= set(self.edges.columns):
             return self.edges
         return endpoint_labels(self.edges, self.nodes)
 
+    def labeled_edges(self) -> DataFrame:
+        """Edges with the labels of their end points (the plan is made once)."""
+        return self._labeled
+
     def with_nodes(self, nodes: DataFrame) -> PropertyGraph:
         return replace(self, nodes=nodes)
 

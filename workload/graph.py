@@ -207,7 +207,22 @@ def _wide(spark: SparkSession, table: Table, keys: tuple[str, ...]) -> DataFrame
     return spark.sql(f"select {', '.join(columns)} from {table.source}")
 
 
+_PLANS: dict[tuple[str, int, str], PropertyGraph] = {}
+
+
 def load_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """The graph of a folder.
+
+    Its plan is made once per session; no data are kept, every use reads the
+    tables again.
+    """
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
+    if key not in _PLANS:
+        _PLANS[key] = _load(spark, sf_dir)
+    return _PLANS[key]
+
+
+def _load(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     register(spark, sf_dir)
     nodes = [
         nodes_from_wide(
