@@ -2,7 +2,8 @@
 
 Rows of the long form carry ``type_id``, what was predicted and what is true.
 All scores are sums over (type, truth) groups, so the long form is reduced by
-one map-side combine and never shuffled whole.
+one map-side combine and never shuffled whole.  Where only scores are wanted,
+patterns with a count ``n`` take the place of elements.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ def _one_or_none(text: Column) -> Column:
 def node_eval_rows(
     assigned: DataFrame, types: DataFrame, truth: DataFrame | None = None
 ) -> DataFrame:
-    """(node_id, type_id, predicted, actual).
+    """(node_id, type_id, predicted, actual), or ``n`` in place of the id.
 
     ``assigned`` has node_id and type_id.  True labels come from its own
     ``true_labels`` or, by a left join, from ``truth`` (node_id, true_labels).
@@ -47,8 +48,9 @@ def node_eval_rows(
     predicted = bounded_lookup(
         types.select("type_id", _split_labels(F.col("labels")).alias("predicted"))
     )
+    unit = "node_id" if "node_id" in assigned.columns else "n"
     return assigned.join(predicted, "type_id").select(
-        "node_id", "type_id", "predicted", clean_set(F.col("true_labels")).alias("actual")
+        unit, "type_id", "predicted", clean_set(F.col("true_labels")).alias("actual")
     )
 
 
@@ -65,6 +67,8 @@ def node_correctness(rows: DataFrame) -> DataFrame:
 def edge_eval_rows(assigned: DataFrame, types: DataFrame) -> DataFrame:
     """(edge_id, type_id, predicted_*, actual_*) with three parts each.
 
+    An edge pattern holds the whole truth about its edges, so typed patterns
+    do as well as assigned edges; they have ``n`` in place of the id.
     ``assigned`` has edge_id, type_id, edge_type, src_labels and dst_labels.
     """
     predicted = bounded_lookup(
@@ -75,8 +79,9 @@ def edge_eval_rows(assigned: DataFrame, types: DataFrame) -> DataFrame:
             F.col("dst_labels").alias("predicted_dst"),
         )
     )
+    unit = "edge_id" if "edge_id" in assigned.columns else "n"
     return assigned.join(predicted, "type_id").select(
-        "edge_id",
+        unit,
         "type_id",
         "predicted_types",
         "predicted_src",

@@ -69,6 +69,26 @@ def node_patterns(nodes: DataFrame) -> DataFrame:
     return finish_node_patterns(counted)
 
 
+def node_truth_counts(nodes: DataFrame) -> DataFrame:
+    """(pattern_id, labels, prop_set, true_labels, n): patterns cut by true labels.
+
+    Their sums are the node patterns, so one pass over the nodes serves
+    discovery and scoring alike.
+    """
+    return (
+        normal_nodes(nodes)
+        .withColumn("true_labels", clean_set(F.col("true_labels")))
+        .groupBy(*NODE_KEYS, "true_labels")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("pattern_id", node_pattern_id())
+    )
+
+
+def patterns_of_truth(truth: DataFrame) -> DataFrame:
+    """Node patterns from :func:`node_truth_counts`."""
+    return finish_node_patterns(truth.groupBy(*NODE_KEYS).agg(F.sum("n").alias("n")))
+
+
 def edge_patterns(edges: DataFrame) -> DataFrame:
     """(pattern_id, edge_type, src_labels, dst_labels, src_key, dst_key, prop_set, n)."""
     counted = normal_edges(edges).groupBy(*EDGE_KEYS).agg(F.count(F.lit(1)).alias("n"))

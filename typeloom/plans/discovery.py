@@ -38,16 +38,22 @@ from typeloom.operators.merge import (
     merge_edges,
     merge_nodes,
 )
-from typeloom.operators.patterns import edge_patterns, node_patterns
+from typeloom.operators.patterns import (
+    edge_patterns,
+    node_patterns,
+    node_truth_counts,
+    patterns_of_truth,
+)
 from typeloom.operators.render import render_pg_loose, render_pg_strict, render_xsd
 from typeloom.sources.documents import write_lines
+from typeloom.sources.wide import union_all
 
 
 @dataclass
 class Schema:
     """A discovered schema.
 
-    Its tables hold types and patterns; elements are read by the assignments.
+    Its tables hold types and patterns; only the assignments read elements.
 
     ``edge_types`` unites edges of equal type, as the documents need it;
     ``edge_types_by_ends`` keeps different end points apart, as scoring does.
@@ -59,6 +65,7 @@ class Schema:
     typed_node_patterns: DataFrame
     typed_edge_patterns: DataFrame
     graph: PropertyGraph | None = None
+    node_truth: DataFrame | None = None
 
     def pg_loose(self, **options) -> DataFrame:
         return render_pg_loose(self.node_types, self.edge_types, **options)
@@ -90,15 +97,72 @@ class Schema:
         edges = self._graph().labeled_edges() if edges is None else edges
         return assign_edges(edges, self.typed_edge_patterns)
 
-    def evaluate(self) -> DataFrame:
-        """Scores of nodes and edges against the known labels, two rows."""
-        nodes = evaluate_nodes(node_eval_rows(self.node_assignment(), self.node_types))
-        edges = evaluate_edges(edge_eval_rows(self.edge_assignment(), self.edge_types_by_ends))
-        return nodes.withColumn("element", F.lit("node")).unionByName(
-            edges.withColumn("element", F.lit("edge"))
+    def evaluate(self, truth: DataFrame | None = None) -> DataFrame:
+        """Scores of nodes and edges against the known labels, two rows.
+
+        Works on pattern counts; ``truth`` is a table of
+        :func:`node_truth_counts` where the schema has none of its own.
+        """
+        truth = self.node_truth if truth is None else truth
+        if truth is None:
+            raise ValueError("no ground truth: the nodes had no true_labels")
+        return score(
+            truth,
+            MergedTypes(self.node_types, self.typed_node_patterns),
+            MergedTypes(self.edge_types_by_ends, self.typed_edge_patterns),
         )
 
 
+@dataclass(frozen=True)
+class Patterns:
+    """Pinned pattern tables of a graph, all that clustering and scoring need."""
+
+    nodes: DataFrame
+    edges: DataFrame
+    truth: DataFrame | None = None
+
+
+def pattern_tables(graph: PropertyGraph) -> Patterns:
+    """One pass over the nodes and one over the edges."""
+    edges = pin(edge_patterns(graph.labeled_edges()))
+    if "true_labels" not in graph.nodes.columns:
+        return Patterns(pin(node_patterns(graph.nodes)), edges)
+    truth = pin(node_truth_counts(graph.nodes))
+    return Patterns(pin(patterns_of_truth(truth)), edges, truth)
+
+
+def score(truth: DataFrame, nodes: MergedTypes, edges: MergedTypes) -> DataFrame:
+    """Two rows of scores from typed patterns and the counts of true labels."""
+    by_pattern = truth.select("pattern_id", "true_labels", "n").join(
+        nodes.typed.select("pattern_id", "type_id"), "pattern_id"
+    )
+    node_scores = evaluate_nodes(node_eval_rows(by_pattern, nodes.types))
+    edge_scores = evaluate_edges(edge_eval_rows(edges.typed, edges.types))
+    return node_scores.withColumn("element", F.lit("node")).unionByName(
+        edge_scores.withColumn("element", F.lit("edge"))
+    )
+
+
+def score_method(
+    tables: Patterns,
+    method: str,
+    threshold: float = JACCARD_THRESHOLD,
+    split_labels: bool = False,
+    **options,
+) -> DataFrame:
+    """Scores of one method on given patterns, without datatypes and cardinalities."""
+    if tables.truth is None:
+        raise ValueError("no ground truth: the nodes have no true_labels")
+    nodes = merge_nodes(
+        pin(cluster(tables.nodes, method, **options)),
+        absorb=method != "kmeans",
+        threshold=threshold,
+        split_labels=split_labels,
+    )
+    edges = merge_edges(pin(cluster(tables.edges, method, **options)), EDGE_KEYS)
+    return score(tables.truth, nodes, edges).withColumn("method", F.lit(method))
+
+
 def merge_all(
     nodes: DataFrame,
     edges: DataFrame,
@@ -138,10 +202,11 @@ def discover(
     clustering and merging see the pinned pattern tables only.  ``types`` says
     whether datatypes come from a ``sample`` or from ``all`` values.
     """
-    node_pat = pin(node_patterns(graph.nodes))
-    edge_pat = pin(edge_patterns(graph.labeled_edges()))
+    if types not in ("sample", "all"):
+        raise ValueError("types is 'sample' or 'all'")
+    tables = pattern_tables(graph)
     nodes, edges, by_ends = merge_all(
-        node_pat, edge_pat, method, threshold, split_labels, options
+        tables.nodes, tables.edges, method, threshold, split_labels, options
     )
 
     def dtypes(elements: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -150,12 +215,12 @@ def discover(
         totals = property_census(patterns).withColumnRenamed("n", "total")
         return infer_types_sample(elements, sample, totals=totals)
 
-    if types not in ("sample", "all"):
-        raise ValueError("types is 'sample' or 'all'")
-    node_dtypes = dtypes(graph.nodes, node_pat)
-    edge_dtypes = dtypes(graph.edges, edge_pat)
+    node_dtypes = dtypes(graph.nodes, tables.nodes)
+    edge_dtypes = dtypes(graph.edges, tables.edges)
     found = cardinalities_of_pairs(distinct_pairs(graph.edges))
-    return assemble_schema(nodes, edges, by_ends, node_dtypes, edge_dtypes, found, graph)
+    return assemble_schema(
+        nodes, edges, by_ends, node_dtypes, edge_dtypes, found, graph, tables.truth
+    )
 
 
 def assemble_schema(
@@ -166,6 +231,7 @@ def assemble_schema(
     edge_dtypes: DataFrame,
     found: DataFrame,
     graph: PropertyGraph | None = None,
+    truth: DataFrame | None = None,
 ) -> Schema:
     """Annotated types; all tables of the schema are small and computed once."""
     edge_dtypes = pin(edge_dtypes)
@@ -176,18 +242,16 @@ def assemble_schema(
         typed_node_patterns=nodes.typed,
         typed_edge_patterns=by_ends.typed,
         graph=graph,
+        node_truth=truth,
     )
 
 
 def discover_all(
     graph: PropertyGraph, methods: Sequence[str] = METHODS, **options
 ) -> DataFrame:
-    """Scores of every method, one row per method and element kind."""
-    rows = [
-        discover(graph, method, **options).evaluate().withColumn("method", F.lit(method))
-        for method in methods
-    ]
-    out = rows[0]
-    for more in rows[1:]:
-        out = out.unionByName(more)
-    return out
+    """Scores of every method, one row per method and element kind.
+
+    All methods share one set of pattern tables.
+    """
+    tables = pattern_tables(graph)
+    return union_all([score_method(tables, method, **options) for method in methods])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from typeloom.model import PropertyGraph
 from typeloom.operators.noise import drop_labels, drop_properties
-from typeloom.plans.discovery import discover
+from typeloom.plans.discovery import pattern_tables, score_method
 from typeloom.sources.wide import union_all
 
 # The usual grid of noise levels and label loss.
@@ -41,20 +41,19 @@ def robustness_grid(
     seed: int = 42,
     **options,
 ) -> DataFrame:
-    """Scores for each noise level, label loss and method."""
+    """Scores for each noise level, label loss and method.
+
+    A damaged graph is read once, for its pattern tables; all methods work on
+    those.
+    """
     cells = []
     for level in noise:
         for lost in loss:
-            noisy = damaged(graph, level, lost, labels, seed)
-            for method in methods:
-                scores = discover(noisy, method, **options).evaluate()
-                cells.append(
-                    scores.withColumns(
-                        {
-                            "noise": F.lit(float(level)),
-                            "label_loss": F.lit(float(lost)),
-                            "method": F.lit(method),
-                        }
-                    )
+            tables = pattern_tables(damaged(graph, level, lost, labels, seed))
+            cells += [
+                score_method(tables, method, **options).withColumns(
+                    {"noise": F.lit(float(level)), "label_loss": F.lit(float(lost))}
                 )
+                for method in methods
+            ]
     return union_all(cells)
