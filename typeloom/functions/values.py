@@ -45,7 +45,8 @@ def strip(value: Column) -> Column:
 def is_integer(value: Column) -> Column:
     """32-bit integer.  A longer number is none, though it is a double."""
     text = strip(value)
-    return text.rlike(INTEGER_PATTERN) & text.try_cast("int").isNotNull()
+    fits = text.rlike(INTEGER_PATTERN) & text.try_cast("int").isNotNull()
+    return F.when(value.isNotNull(), fits)
 
 
 def is_double(value: Column) -> Column:

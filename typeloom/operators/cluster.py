@@ -19,7 +19,7 @@ from typeloom.operators.patterns import distinct_label_sets, is_edge_frame
 
 SAMPLE_SIZE = 10_000
 FALLBACK_BUCKET = 0.2
-OFFSET = 10**15  # keeps projections non-negative before the integer division
+LARGEST_SUM = 10**15  # no projection in integer units comes near it
 PRIME = 2**31 - 1
 METHODS = ("lsh", "minhash", "kmeans")
 
@@ -214,8 +214,10 @@ def _hashed_projection(patterns: DataFrame, bucket: float, tables: int, seed: in
             zero,
             lambda acc, p: acc + _bit_coefficient(seed, p, table) * F.lit(SCALE),
         )
-        shifted = labels + bits + F.lit(OFFSET)
         width = F.element_at("widths", table + 1)
+        # whole buckets are added, so that truncating division rounds down
+        buckets = F.call_function("div", F.lit(LARGEST_SUM), width) + 1
+        shifted = labels + bits + buckets * width
         return F.call_function("div", shifted, width).cast("string")
 
     return (

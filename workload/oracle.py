@@ -130,7 +130,7 @@ def _lsh(kind: str) -> str:
       select pattern_id, t, (
           list_sum(list_transform(range(0, {dims}), lambda i: codes[i + 1] * ({ce})))::BIGINT
           + coalesce(list_sum(list_transform(pset, lambda x: 1000000 * ({cp}))), 0)::BIGINT
-          + 1000000000000000) // width as b
+          + (1000000000000000 // width + 1) * width) // width as b
       from {p}c, {kind}width)
     group by pattern_id) h on h.pattern_id = p.pattern_id)"""
 
