@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from typeloom.functions.hashing import code32
@@ -23,6 +23,7 @@ FORCE_STRING = ("locationIP",)  # fixed value: a name always taken as text
 TRUTH_NAMES = ("original_label",)  # fixed value: ground truth is no property
 UNKNOWN_TYPE = "Unknown"
 TOP_MISMATCHES = 50
+INLINE_NAMES = 200  # up to so many sampling limits are part of the expression
 # Bounds of the bins of the support difference.
 DELTA_BINS = ((0.0, 0.05), (0.05, 0.10), (0.10, 0.20), (0.20, 0.30), (0.30, None))
 
@@ -62,6 +63,39 @@ def value_totals(elements: DataFrame, scope: str = "global") -> DataFrame:
     return names.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
 
 
+def _draw(id_: Column, name: Column) -> Column:
+    return code32(F.concat_ws("|", id_, name))
+
+
+def _sampled_by_name(elements: DataFrame, limits: dict[str, float]) -> DataFrame:
+    """Values whose draw is below the limit of their name, few names.
+
+    Names are drawn before values are looked at: the filter needs the id and
+    ``prop_set`` only and moves below the projection that builds ``props``, so
+    just the rows that give a sample value have their values cast to text.
+    """
+    id_col = F.col("edge_id" if "edge_id" in elements.columns else "node_id")
+    bounds = F.create_map(*[F.lit(x) for entry in limits.items() for x in entry])
+    # the id enters as an argument: a column caught by a lambda in a filter
+    # above a union breaks constraint propagation in the optimizer
+    draws = F.zip_with(
+        F.array_repeat(id_col, F.size("prop_set")),
+        "prop_set",
+        lambda i, name: F.struct(_draw(i, name).alias("draw"), name.alias("name")),
+    )
+    drawn = F.filter(draws, lambda d: d["draw"] < F.try_element_at(bounds, d["name"]))
+    return (
+        elements.filter(F.size(drawn) > 0)
+        .select(id_col.alias("id"), "props", F.explode(drawn).alias("d"))
+        .select(
+            "id",
+            F.col("d.name").alias("name"),
+            F.try_element_at("props", F.col("d.name")).alias("value"),
+            F.col("d.draw").alias("draw"),
+        )
+    )
+
+
 def sample_values(
     elements: DataFrame,
     n: int = SAMPLE_VALUES,
@@ -78,19 +112,24 @@ def sample_values(
     wanted = F.lit(2.0 * n + 100.0)
     if totals is None:
         totals = value_totals(elements, scope)
-    limits = bounded_lookup(
-        totals.select(
-            *keys,
-            F.least(F.lit(2.0**32), wanted * F.lit(2.0**32) / F.col("total")).alias("below"),
-        )
+    limits = totals.select(
+        *keys,
+        F.least(F.lit(2.0**32), wanted * F.lit(2.0**32) / F.col("total")).alias("below"),
     )
+    few = limits.limit(INLINE_NAMES + 1).collect() if scope == "global" else []
+    if 0 < len(few) <= INLINE_NAMES:
+        drawn = _sampled_by_name(elements, {r["name"]: r["below"] for r in few})
+    else:
+        drawn = (
+            property_values(elements, scope)
+            .filter(F.col("value").isNotNull())
+            .withColumn("draw", _draw(F.col("id"), F.col("name")))
+            .join(bounded_lookup(limits), keys)
+            .filter(F.col("draw") < F.col("below"))
+        )
     order = Window.partitionBy(*keys).orderBy("draw", "id")
-    values = property_values(elements, scope).filter(F.col("value").isNotNull())
     return (
-        values.withColumn("draw", code32(F.concat_ws("|", "id", "name")))
-        .join(limits, keys)
-        .filter(F.col("draw") < F.col("below"))
-        .withColumn("rank", F.row_number().over(order))
+        drawn.withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= n)
         .select("id", *keys, "value")
     )

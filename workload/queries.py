@@ -1112,6 +1112,7 @@ def render_xsd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 N_BATCHES = 4
+FILES_PER_TRIGGER = 16
 
 
 def _state_sql(kind: str, key: str, table: str) -> str:
@@ -1128,9 +1129,7 @@ def _state_sql(kind: str, key: str, table: str) -> str:
     ),
 )
 def incremental_node_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = lossy_graph(spark, sf_dir).nodes
-    size = -(-nodes.count() // N_BATCHES)
-    batched = batches.node_batches(nodes, size)
+    batched = batches.node_batches(lossy_graph(spark, sf_dir).nodes, count=N_BATCHES)
     state = None
     for batch in range(N_BATCHES):
         part = merge.node_state(patterns.node_patterns(batched.filter(F.col("batch_id") == batch)))
@@ -1140,9 +1139,7 @@ def incremental_node_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("incremental_edge_state", sql.query(LOSSY, _state_sql("e", "edge_type", "ep")))
 def incremental_edge_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = lossy_graph(spark, sf_dir).labeled_edges()
-    size = -(-edges.count() // N_BATCHES)
-    batched = batches.edge_batches(edges, size)
+    batched = batches.edge_batches(lossy_graph(spark, sf_dir).labeled_edges(), count=N_BATCHES)
     state = None
     for batch in range(N_BATCHES):
         part = merge.edge_state(patterns.edge_patterns(batched.filter(F.col("batch_id") == batch)))
@@ -1169,17 +1166,15 @@ def stream_state(spark: SparkSession, sf_dir: str) -> str:
     graph = lossy_graph(spark, sf_dir)
     folder = work_folder(spark)
     tables = {
-        "nodes": batches.node_batches(graph.nodes, -(-graph.nodes.count() // N_BATCHES)),
-        "edges": batches.edge_batches(
-            graph.labeled_edges(), -(-graph.edges.count() // N_BATCHES)
-        ),
+        "nodes": batches.node_batches(graph.nodes, count=N_BATCHES),
+        "edges": batches.edge_batches(graph.labeled_edges(), count=N_BATCHES),
     }
     streams = {}
     for name, table in tables.items():
-        batches.write_batches(table.repartition("batch_id"), f"{folder}/{name}")
+        batches.write_batches(table, f"{folder}/{name}")
         streams[name] = (
             spark.readStream.schema(table.schema)
-            .option("maxFilesPerTrigger", 1)
+            .option("maxFilesPerTrigger", FILES_PER_TRIGGER)
             .parquet(f"{folder}/{name}")
             .drop("batch_id")
         )
