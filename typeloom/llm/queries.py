@@ -7,7 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
 from typeloom.llm.common import table
+from typeloom.llm.decontamination import benchmark_matches, hit_words
+from typeloom.llm.packing import pack
 from typeloom.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,3 +27,25 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable:
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return token_counts(table(spark, sf_dir, "documents"), path, limit=1024)
+
+
+@query
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return pack(table(spark, sf_dir, "documents"), path, end_id=1, window=2048).drop("ids")
+
+
+@query
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = benchmark_matches(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10
+    )
+    return found.select(
+        "doc_id",
+        "n_words",
+        hit_words().alias("n_hit"),
+        F.size("item_names").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_names", ","), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+        "longest_match",
+    )
