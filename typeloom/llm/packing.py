@@ -30,8 +30,8 @@ from typeloom.llm.common import text_or_empty, text_slices, worker_cache
 KEPT_WORDS = 1_000_000
 #: Every tokenizer of the word kind drops this white space, so words can be encoded alone.
 WORD = re.compile(r"[^ \t\n\r]+")
-#: Below these characters lower-casing a text or each character is the same.
-NOT_PLAIN = re.compile("[İɐ-\U0010ffff]")
+#: Without these, lower-casing the text first changes no id.
+NOT_PLAIN = re.compile("<[|]|[İɐ-\U0010ffff]")
 
 
 class WordEncoder:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from typeloom.llm.common import table
 from typeloom.llm.decontamination import benchmark_matches, hit_words
 from typeloom.llm.packing import pack
+from typeloom.llm import quality_rules as quality
 from typeloom.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +30,14 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), path, limit=1024)
 
 
+@query
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(table(spark, sf_dir, "documents")).drop("lost", "clean_text")
+
+
+ORACLES["op4_quality_rules"] = quality.ORACLE_SQL
+
+
 @query
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
