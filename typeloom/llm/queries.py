@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from typeloom.llm.common import table
 from typeloom.llm.decontamination import benchmark_matches, hit_words
 from typeloom.llm.packing import pack
+from typeloom.functions.sizing import work_folder
 from typeloom.llm import quality_rules as quality
+from typeloom.llm import warc
 from typeloom.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +40,24 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op4_quality_rules"] = quality.ORACLE_SQL
 
 
+@query
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    folder = f"{work_folder(spark)}/warc"
+    warc.write_warc(pages, folder, min_bytes=1000)
+    return warc.read_warc(spark, folder).select(
+        warc.as_type("id", pages, "page_id").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        warc.as_type("refers_to", pages, "page_id").alias("refers_to"),
+        "intact",
+    )
+
+
+ORACLES["op5_warc"] = warc.ORACLE_SQL.replace("refers_to\nfrom", "refers_to, true as intact\nfrom")
+
+
 @query
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
