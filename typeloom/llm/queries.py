@@ -15,6 +15,7 @@ from typeloom.llm.packing import pack
 from typeloom.functions.sizing import work_folder
 from typeloom.llm import quality_rules as quality
 from typeloom.llm import warc
+from typeloom.llm.pii import personal_data
 from typeloom.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +79,8 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.size("spans") > 0).alias("contaminated"),
         "longest_match",
     )
+
+
+@query
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
