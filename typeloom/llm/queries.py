@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
+from typeloom.llm.bagminhash import near_duplicates
 from typeloom.llm.common import table
 from typeloom.llm.decontamination import benchmark_matches, hit_words
 from typeloom.llm.packing import pack
@@ -84,3 +85,8 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8)
