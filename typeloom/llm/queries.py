@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from typeloom.llm.bagminhash import near_duplicates
-from typeloom.llm.common import table
+from typeloom.llm import toxicity as toxic
+from typeloom.llm.common import fold_of, table
 from typeloom.llm.decontamination import benchmark_matches, hit_words
 from typeloom.llm.packing import pack
 from typeloom.functions.sizing import work_folder
@@ -28,6 +29,14 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable:
     return fn
 
 
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").filter(fold_of("doc_id", 3) != 1)
+    scored = toxic.toxicity(docs, toxic.fit(docs, labels), threshold=0.7)
+    return scored.select("doc_id", (fold_of("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
 @query
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
