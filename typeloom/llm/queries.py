@@ -18,6 +18,7 @@ from typeloom.functions.sizing import work_folder
 from typeloom.llm import quality_rules as quality
 from typeloom.llm import warc
 from typeloom.llm.pii import personal_data
+from typeloom.llm import url_filters as urls
 from typeloom.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +30,22 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable:
     return fn
 
 
+#: Rules that the contract of op1 gives.
+URL_RULES = (
+    (urls.BLOCK, "net/"),
+    (urls.ALLOW, "example.net/en/"),
+    (urls.BLOCK, "example.com/de/"),
+    (urls.ALLOW, "org/fr/"),
+)
+
+
+@query
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    mined = urls.mine(urls.labelled(pages, URL_RULES))
+    return urls.judge_urls(pages, URL_RULES, mined)
+
+
 @query
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
