@@ -13,6 +13,7 @@ from typeloom.llm.bagminhash import near_duplicates
 from typeloom.llm import toxicity as toxic
 from typeloom.llm.common import fold_of, table
 from typeloom.llm.decontamination import benchmark_matches, hit_words
+from typeloom.llm.lm_scoring import lm_scores
 from typeloom.llm.packing import pack
 from typeloom.functions.sizing import work_folder
 from typeloom.llm import quality_rules as quality
@@ -86,6 +87,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op5_warc"] = warc.ORACLE_SQL.replace("refers_to\nfrom", "refers_to, true as intact\nfrom")
 
 
+@query
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return lm_scores(table(spark, sf_dir, "documents"), fold_of("doc_id", 7) == 2, path)
+
+
 @query
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
