@@ -17,7 +17,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from typeloom.functions.sizing import pin
+from typeloom.functions.sizing import pin, work_folder
 from typeloom.llm.common import text_or_empty
 
 # Possessive and anchored forms of the stated patterns: they find the same matches
@@ -310,21 +310,27 @@ def _listed(spans: Column, names: tuple[str, ...]) -> Column:
 KINDS = (*BASE_KINDS, "other")
 
 
-def found_spans(docs: DataFrame, threshold: float = 0.5, text_column: str = "text") -> DataFrame:
-    """``docs`` as columns c0, c1, ... without the text, and arrays ``base`` and ``all``.
+def found_spans(
+    docs: DataFrame, text_column: str, threshold: float = 0.5, keep_text: bool = False
+) -> DataFrame:
+    """``docs`` as columns c0, c1, ... and arrays ``base`` and ``all`` of spans.
 
     The arrays hold (start, kind, end) by start and kind; ``all`` adds the candidates that
-    the classifier gives at least ``threshold``.  The texts are read once; what is pinned is
-    the other columns and the spans.
+    the classifier gives at least ``threshold``.  The texts are searched once: spans are
+    pinned, and with ``keep_text`` all columns are written to the work folder with them.
     """
-    place = docs.columns.index(text_column)
+    text_name = f"c{docs.columns.index(text_column)}"
     numbered = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
-    text = F.coalesce(F.col(f"c{place}").cast("string"), F.lit(""))
-    kept = [c for i, c in enumerate(numbered.columns) if i != place]
+    text = F.coalesce(F.col(text_name).cast("string"), F.lit(""))
+    kept = [c for c in numbered.columns if keep_text or c != text_name]
     based = numbered.select(*kept, text.alias("text_"), base_spans(text).alias("base"))
-    found = pin(
-        based.select(*kept, "base", candidates(F.col("text_"), F.col("base")).alias("candidates"))
-    )
+    found = based.select(*kept, "base", candidates(F.col("text_"), F.col("base")).alias("candidates"))
+    if keep_text:
+        folder = f"{work_folder(docs.sparkSession)}/spans"
+        found.write.parquet(folder)
+        found = docs.sparkSession.read.schema(found.schema).parquet(folder)
+    else:
+        found = pin(found)
     model = fit(found)
     if model is None:
         added = F.array().cast(f"array<{SPAN}>")
@@ -344,7 +350,7 @@ def personal_data(
     points.  Null and empty texts have none.  Repeated rows get the same result; other
     columns are not read.
     """
-    found = found_spans(docs.select(id_column, text_column), threshold, text_column)
+    found = found_spans(docs.select(id_column, text_column), text_column, threshold)
     number = lambda spans, kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
     return found.select(
         F.col("c0").alias(id_column),
@@ -385,3 +391,13 @@ def redact(text: Column, spans: Column, names: tuple[str, ...] = KINDS) -> Colum
         ),
     )
     return F.when(F.size(spans) > 0, parts).otherwise(text)
+
+
+def redacted(docs: DataFrame, threshold: float = 0.5, text_column: str = "text") -> DataFrame:
+    """``docs`` with every span replaced by its kind, in the same columns; null texts stay null."""
+    found = found_spans(docs, text_column, threshold, keep_text=True)
+    text = f"c{docs.columns.index(text_column)}"
+    new = F.when(F.col(text).isNotNull(), redact(F.col(text), F.col("all")))
+    return found.withColumn(text, new).select(
+        *(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns))
+    )

@@ -150,6 +150,21 @@ def quality_rules(
     )
 
 
+def clean(docs: DataFrame, text_column: str = "text", **limits) -> DataFrame:
+    """``docs`` without the rows that the rules reject and the lines that fail, in the same columns."""
+    kept = docs.columns
+    numbered = docs.toDF(*(f"c{i}" for i in range(len(kept))))
+    text = f"c{kept.index(text_column)}"
+    judged = quality_rules(
+        numbered, id_column=text, text_column=text, carry=tuple(numbered.columns), **limits
+    )
+    # a filter does not move below a column like this one, so the verdict is worked out once
+    kept_rows = judged.withColumn("row", F.monotonically_increasing_id()).filter("kept and row >= 0")
+    return kept_rows.select(
+        *(F.col("clean_text" if c == text else c).alias(name) for c, name in zip(numbered.columns, kept, strict=True))
+    )
+
+
 #: DuckDB twin of the query over ``documents``.
 ORACLE_SQL = r"""
 with t as (
