@@ -17,7 +17,6 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -32,8 +31,10 @@ BANDS = 20
 ROWS = 4
 #: Words whose hashes a worker keeps.
 KEPT_WORDS = 1_000_000
-#: Members of a band that one task compares at a time.
-BLOCK = 256
+#: Members of a band on either side that one task compares at a time.
+BLOCK = 512
+#: Shingles whose occurrences are multiplied at a time.
+COLUMNS = 2048
 #: Salts of joins on keys that many rows may share.
 SALTS = 16
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -247,61 +248,121 @@ def verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(compare, f"left_id {id_type}, right_id {id_type}, similarity double")
 
 
-def _within_blocks(members: DataFrame, bags: DataFrame, threshold: float, m: int) -> DataFrame:
-    """Pairs of different components in bands that hold several.
+def overlaps(a: list[tuple], b: list[tuple]) -> np.ndarray:
+    """Weighted Jaccard similarities of all bags of ``a`` with all of ``b``.
 
-    ``members`` are (key, id, component).  A band is dealt into blocks of about ``BLOCK``
-    members, two blocks meet in a task, and only pairs leave it whose signatures
-    agree in a share within five standard deviations of the threshold.
+    A shingle of weight w is w elements; common elements are counted by products of
+    0/1 matrices, ``COLUMNS`` elements at a time.
     """
-    least = threshold - 5 * (threshold * (1 - threshold) / m) ** 0.5
-    sizes = pin(members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))
 
-    def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes, weights = batch.column("hashes"), batch.column("weights")
-            ends = np.asarray(hashes.offsets)
-            d = np.repeat(np.arange(batch.num_rows), np.diff(ends))
-            h = np.asarray(hashes.flatten()).view(np.uint64)
-            w = np.asarray(weights.flatten()).astype(np.int64)
-            found = bag_min_hash(d, h, w, batch.num_rows, m).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([row.tobytes() for row in found], pa.binary())],
-                ["id", "signature"],
-            )
-
-    id_type = bags.schema["id"].dataType.simpleString()
-    signatures = bags.join(members.select("id").distinct(), "id", "left_semi").mapInArrow(
-        sign, f"id {id_type}, signature binary"
+    def elements(bags: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row = np.repeat(np.arange(len(bags)), [len(h) for h, _ in bags])
+        h = np.concatenate([h for h, _ in bags])
+        w = np.concatenate([w for _, w in bags]).astype(np.int64)
+        each = np.repeat(np.arange(len(h)), w)
+        level = np.arange(len(each)) - np.repeat(np.cumsum(w) - w, w)
+        return row[each], mixed(h[each] + level.astype(np.uint64) * _STEP), np.bincount(row, w, len(bags))
+
+    row_a, of_a, size_a = elements(a)
+    row_b, of_b, size_b = elements(b)
+    shared = np.intersect1d(of_a, of_b)
+    both = np.zeros((len(a), len(b)), np.float32)
+
+    def placed(row: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(shared, of), max(len(shared) - 1, 0))
+        known = shared[at] == of if len(shared) else np.zeros(len(of), bool)
+        order = np.argsort(at[known], kind="stable")
+        return row[known][order], at[known][order]
+
+    row_a, at_a = placed(row_a, of_a)
+    row_b, at_b = placed(row_b, of_b)
+    for start in range(0, len(shared), COLUMNS):
+        dense = []
+        for row, at, n in ((row_a, at_a, len(a)), (row_b, at_b, len(b))):
+            cut = slice(*np.searchsorted(at, (start, start + COLUMNS)))
+            x = np.zeros((n, COLUMNS), np.float32)
+            x[row[cut], at[cut] - start] = 1
+            dense.append(x)
+        both += dense[0] @ dense[1].T
+    return both / (size_a[:, None] + size_b[None, :] - both)
+
+
+def _spanning(left: np.ndarray, right: np.ndarray, components: np.ndarray) -> list[int]:
+    """Numbers of the pairs that join components not yet joined by pairs before them."""
+    above: dict = {}
+
+    def top(x):
+        while above.get(x, x) != x:
+            above[x] = above.get(above[x], above[x])
+            x = above[x]
+        return x
+
+    kept = []
+    for i, (a, b) in enumerate(zip(left.tolist(), right.tolist(), strict=True)):
+        a, b = top(components[a]), top(components[b])
+        if a != b:
+            above[b] = a
+            kept.append(i)
+    return kept
+
+
+def _within_blocks(members: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """Links (left_id, right_id, similarity) between components that share a band.
+
+    ``members`` are (key, id, component).  All members of a band are compared with those
+    outside the band's largest component, exactly and on whole bags.  Both
+    sides are dealt into blocks of about ``BLOCK`` members, a block of one meets a block of
+    the other in a task, and of the links that it finds those leave it that join
+    components not yet joined there.
+    """
+    largest = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
+        F.max_by("component", F.struct("n", "component")).alias("largest"),
+        F.sum("n").alias("all"),
+        (F.sum("n") - F.max("n")).alias("others"),
+    )
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    sized = members.join(
+        pin(largest.select("key", "largest", blocks("all").alias("all"), blocks("others").alias("others"))),
+        "key",
+    )
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    few = (
+        sized.filter("component <> largest")
+        .select("key", "id", "component", F.lit(True).alias("few"), block("others").alias("i"), each("all").alias("j"))
     )
-    dealt = (
-        members.join(sizes, "key")
-        .join(signatures, "id")
-        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        .select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .withColumn("first", F.least("block", "other"))
-        .withColumn("second", F.greatest("block", "other"))
+    all_ = sized.select(
+        "key", "id", "component", F.lit(False).alias("few"), block("all").alias("j"), each("others").alias("i")
     )
+    dealt = few.unionByName(all_).join(bags, "id")
+
+    def compare(key: tuple, rows: pa.Table) -> pa.Table:
+        few = rows["few"].to_numpy()
+        bags = [
+            (np.asarray(h.values).view(np.uint64), np.asarray(w.values))
+            for h, w in zip(rows["hashes"], rows["weights"], strict=True)
+        ]
+        a, b = np.flatnonzero(few), np.flatnonzero(~few)
+        components = rows["component"].to_numpy()
+        if len(a) and len(b):
+            found = overlaps([bags[i] for i in a], [bags[i] for i in b])
+            found[components[a][:, None] == components[b][None, :]] = 0
+            x, y = np.nonzero(found >= threshold)
+            kept = _spanning(a[x], b[y], components)
+            x, y = x[kept], y[kept]
+        else:
+            found, x, y = np.zeros((1, 1)), np.zeros(0, int), np.zeros(0, int)
+        return pa.table(
+            {
+                "left_id": rows["id"].take(pa.array(a[x])),
+                "right_id": rows["id"].take(pa.array(b[y])),
+                "similarity": pa.array(found[x, y].astype(float)),
+            }
+        )
 
-    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        ids, components = rows["id"].to_numpy(), rows["component"].to_numpy()
-        blocks = rows["block"].to_numpy()
-        signs = np.frombuffer(b"".join(rows["signature"]), np.uint32).reshape(len(rows), m)
-        left, right = [], []
-        for i in range(len(rows)):
-            agree = (signs[i + 1 :] == signs[i]).mean(axis=1) >= least
-            agree &= components[i + 1 :] != components[i]
-            if key[1] != key[2]:  # pairs within a block meet elsewhere
-                agree &= blocks[i + 1 :] != blocks[i]
-            at = i + 1 + np.flatnonzero(agree)
-            left.append(np.minimum(ids[at], ids[i]))
-            right.append(np.maximum(ids[at], ids[i]))
-        return pd.DataFrame({"left_id": np.concatenate(left), "right_id": np.concatenate(right)})
-
-    return (
-        dealt.groupBy("key", "first", "second")
-        .applyInPandas(compare, f"left_id {id_type}, right_id {id_type}")
-        .distinct()
+    id_type = bags.schema["id"].dataType.simpleString()
+    return dealt.groupBy("key", "i", "j").applyInArrow(
+        compare, f"left_id {id_type}, right_id {id_type}, similarity double"
     )
 
 
@@ -310,9 +371,9 @@ def _open_bands(members: DataFrame, components: DataFrame) -> DataFrame:
     placed = pin(members.join(components, "id"))
     several = pin(
         placed.groupBy("key")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("id").alias("last"))
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
         .filter("low <> high")
-        .select("key", "last")
+        .select("key")
     )
     return pin(placed.join(several, "key"))
 
@@ -332,8 +393,8 @@ def near_duplicates(
     ``n_class`` the rows of the class; ``representative`` holds where id = class_id.
 
     Two texts of similarity s share a band with probability 1 - (1 - s**rows)**bands.  Texts of a
-    band are first compared with its least and its greatest member; where this leaves
-    several components, all its pairs across components are, in blocks.
+    band are first compared with its least member; where this leaves several components, the
+    texts outside the largest are compared with all of the band, in blocks.
     Texts without words are alone in their class, rows without id have null for a
     class; rows that share an id and a text share a class.
     """
@@ -368,29 +429,14 @@ def near_duplicates(
     components = connected_components(ids, links)
     open_ = _open_bands(members, components)
     if open_.limit(1).count():
-        ends = open_.alias("o").join(
-            components.select(F.col("id").alias("last"), F.col("component").alias("of_last")), "last"
-        )
-        star = pin(
-            ends.filter("component <> of_last")
-            .select(F.col("id").alias("left_id"), F.col("last").alias("right_id"))
-            .distinct()
-        )
-        links = pin(links.unionByName(verified(star, bags, threshold)))
-        components = connected_components(ids, links)
-        open_ = _open_bands(members, components)
-    if open_.limit(1).count():
-        pairs = pin(
-            _within_blocks(open_.select("key", "id", "component"), bags, threshold, m)
-        )
-        links = pin(links.unionByName(verified(pairs, bags, threshold)))
-        components = connected_components(ids, links)
-    classed = (
+        more = pin(_within_blocks(open_, bags, threshold))
+        if more.limit(1).count():
+            components = connected_components(ids, links.unionByName(more))
+    classed = pin(
         texts.drop("keys")
         .join(components, "id", "left")
         .select("bag", "n_copies", F.coalesce("component", "id").alias("class_id"))
     )
-    classed = pin(classed)
     sizes = pin(classed.groupBy("class_id").agg(F.sum("n_copies").alias("n_class")))
     by_bag = pin(classed.join(sizes, "class_id"))
     # a text that a third of all rows share meets its class in SALTS groups
