@@ -1,64 +1,33 @@
-"""Keeping plans safe at scale: checked broadcasts and cut lineage."""
+"""Keeping plans safe at scale: a shared work folder and cut lineage."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-# A lookup row of this package is two md5 keys and a few short strings, some
-# 200 bytes; the bound keeps a broadcast near 20 MB.
-MAX_LOOKUP_ROWS = 100_000
 
+def checkpoint_root(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``.
 
-def bounded_lookup(df: DataFrame, max_rows: int = MAX_LOOKUP_ROWS) -> DataFrame:
-    """``df`` ready to be the small side of a join.
-
-    At most ``max_rows + 1`` rows are read to measure it.  A table within the
-    bound is broadcast; a larger one is returned as it is, so that the join
-    shuffles both sides and AQE splits skewed partitions.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
-
-
-def _is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
-
-
-def checkpoint_root(spark: SparkSession) -> str | None:
-    """Shared folder named by ``spark.checkpoint.dir``.
-
-    Only a local session without the setting gets a folder of its own.
+    A session without the setting gets a folder in its warehouse, which executors share as
+    well.
     """
     context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if configured is None and _is_local(spark):
-        configured = tempfile.mkdtemp(prefix="typeloom-")
-    if configured is not None and context.getCheckpointDir() is None:
-        context.setCheckpointDir(configured)
-    return configured
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if root is None:
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_typeloom"
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(root)
+    return root
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A fresh folder name below the shared checkpoint folder."""
-    root = checkpoint_root(spark)
-    if root is None:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{root.rstrip('/')}/typeloom-{uuid.uuid4().hex}"
+    """A fresh folder name below the shared folder."""
+    return f"{checkpoint_root(spark).rstrip('/')}/typeloom-{uuid.uuid4().hex}"
 
 
 def pin(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once.
-
-    With a checkpoint folder the rows are written there, so a lost executor
-    costs nothing.  Without one they are persisted and Spark recomputes what
-    is lost.
-    """
-    if checkpoint_root(df.sparkSession) is None:
-        return df.persist()
+    """Compute ``df`` once and keep it in the shared folder, so a lost executor costs nothing."""
+    checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -38,22 +38,34 @@ def with_prop_set(df: DataFrame) -> DataFrame:
     return df.withColumn("prop_set", present_names(F.col("props")))
 
 
-def endpoint_labels(edges: DataFrame, nodes: DataFrame, labels: str = "labels") -> DataFrame:
+def endpoint_labels(
+    edges: DataFrame, nodes: DataFrame, labels: str = "labels", salts: int = 8
+) -> DataFrame:
     """Add ``src_labels`` and ``dst_labels`` by two equi-joins on the node id.
 
-    The node side is unique per id and narrow.  The edge side is the streamed
-    one, so AQE can split the partition of a node that owns a great part of
-    all edges.
+    An id that several rows share has the labels of all of them, so an edge
+    stays one row.  The node side is narrow and dealt out ``salts`` times, and the edges
+    of a node in as many groups, so a node that owns a great part of all edges is no one
+    task's alone.
     """
-    side = nodes.select("node_id", clean_set(F.col(labels)).alias("_labels"))
+    side = (
+        nodes.select("node_id", F.explode_outer(clean_set(F.col(labels))).alias("_label"))
+        .groupBy("node_id")
+        .agg(F.array_sort(F.collect_set("_label")).alias("_labels"))
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    )
     none = F.array().cast("array<string>")
     out = edges
     for end in ("src", "dst"):
         names = side.select(
-            F.col("node_id").alias(f"{end}_id"), F.col("_labels").alias(f"{end}_labels")
+            F.col("node_id").alias(f"{end}_id"), "_salt", F.col("_labels").alias(f"{end}_labels")
         )
-        out = out.join(names, f"{end}_id", "left").withColumn(
-            f"{end}_labels", F.coalesce(f"{end}_labels", none)
+        salt = F.pmod(F.xxhash64("edge_id", F.lit(end)), F.lit(salts)).cast("int")
+        out = (
+            out.withColumn("_salt", salt)
+            .join(names, [f"{end}_id", "_salt"], "left")
+            .withColumn(f"{end}_labels", F.coalesce(f"{end}_labels", none))
+            .drop("_salt")
         )
     return out
 

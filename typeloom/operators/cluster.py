@@ -8,7 +8,7 @@ projection without a shuffle; equal hashes in *all* tables make a cluster.
 from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import BucketedRandomProjectionLSH, MinHashLSH
+from pyspark.ml.feature import BucketedRandomProjectionLSH, HashingTF, MinHashLSH
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -284,7 +284,13 @@ def cluster_minhash(
     if tables is None:
         tables = minhash_params(patterns).first()["tables"]
     if impl == "ml":
-        features = assemble(patterns, "hash", seed)
+        # the labels and names themselves: of a dense embedding every dimension is there
+        tokens = patterns.withColumn(
+            "tokens", F.when(F.size(_tokens(patterns)) > 0, _tokens(patterns)).otherwise(F.array(F.lit("")))
+        )
+        features = HashingTF(
+            inputCol="tokens", outputCol="features", numFeatures=1 << 18, binary=True
+        ).transform(tokens).drop("tokens")
         model = MinHashLSH(
             inputCol="features", outputCol="hashes", numHashTables=tables, seed=seed
         ).fit(features)

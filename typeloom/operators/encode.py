@@ -22,9 +22,7 @@ from typeloom.sources.wide import property_keys
 NODE_EMBEDDING = {"label_key": 5}
 EDGE_EMBEDDING = {"edge_type": 10, "src_key": 4, "dst_key": 4}
 
-SCALE = 1_000_000  # a presence bit in the integer form of a vector
-MAX_VOCABULARY = 100_000
-
+SCALE = 1_000_000  
 
 def embedding_of(patterns: DataFrame) -> dict[str, int]:
     return EDGE_EMBEDDING if is_edge_frame(patterns) else NODE_EMBEDDING
@@ -68,13 +66,10 @@ def embed_labels(
 def vocabulary(patterns: DataFrame) -> list[str]:
     """Property names as the fixed dimensions of an ML model.
 
-    A model is held whole by every task that applies it, so its width is
-    checked; beyond the bound the hashed clusterings need no vocabulary.
+    A model is held whole by every task that applies it, and so are its names, of which a
+    schema has as many as columns.  The hashed clusterings need no vocabulary.
     """
-    rows = property_keys(patterns).limit(MAX_VOCABULARY + 1).collect()
-    if len(rows) > MAX_VOCABULARY:
-        raise ValueError(f"more than {MAX_VOCABULARY} property names: use impl='hash'")
-    return sorted(r["name"] for r in rows)
+    return sorted(r["name"] for r in property_keys(patterns).collect())
 
 
 def assemble(patterns: DataFrame, mode: str = "hash", seed: int = 42) -> DataFrame:

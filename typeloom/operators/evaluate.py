@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from typeloom.functions.labels import clean_set, label_key
-from typeloom.functions.sizing import bounded_lookup
 
 _STRINGS = "array<string>"
 NODE_TRUTH = ("actual",)
@@ -45,9 +44,7 @@ def node_eval_rows(
         assigned = assigned.select("node_id", "type_id").join(known, "node_id", "left")
     elif "true_labels" not in assigned.columns:
         raise ValueError("no ground truth: neither true_labels on the nodes nor a truth frame")
-    predicted = bounded_lookup(
-        types.select("type_id", _split_labels(F.col("labels")).alias("predicted"))
-    )
+    predicted = types.select("type_id", _split_labels(F.col("labels")).alias("predicted"))
     unit = "node_id" if "node_id" in assigned.columns else "n"
     return assigned.join(predicted, "type_id").select(
         unit, "type_id", "predicted", clean_set(F.col("true_labels")).alias("actual")
@@ -71,13 +68,11 @@ def edge_eval_rows(assigned: DataFrame, types: DataFrame) -> DataFrame:
     do as well as assigned edges; they have ``n`` in place of the id.
     ``assigned`` has edge_id, type_id, edge_type, src_labels and dst_labels.
     """
-    predicted = bounded_lookup(
-        types.select(
-            "type_id",
-            F.col("edge_types").alias("predicted_types"),
-            F.col("src_labels").alias("predicted_src"),
-            F.col("dst_labels").alias("predicted_dst"),
-        )
+    predicted = types.select(
+        "type_id",
+        F.col("edge_types").alias("predicted_types"),
+        F.col("src_labels").alias("predicted_src"),
+        F.col("dst_labels").alias("predicted_dst"),
     )
     unit = "edge_id" if "edge_id" in assigned.columns else "n"
     return assigned.join(predicted, "type_id").select(

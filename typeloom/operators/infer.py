@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from typeloom.functions.hashing import code32
-from typeloom.functions.sizing import bounded_lookup
 from typeloom.functions.values import (
     COUNT_COLUMNS,
     count_aggregates,
@@ -22,8 +21,6 @@ SAMPLE_VALUES = 1000
 FORCE_STRING = ("locationIP",)  # fixed value: a name always taken as text
 TRUTH_NAMES = ("original_label",)  # fixed value: ground truth is no property
 UNKNOWN_TYPE = "Unknown"
-TOP_MISMATCHES = 50
-INLINE_NAMES = 200  # up to so many sampling limits are part of the expression
 # Bounds of the bins of the support difference.
 DELTA_BINS = ((0.0, 0.05), (0.05, 0.10), (0.10, 0.20), (0.20, 0.30), (0.30, None))
 
@@ -67,35 +64,6 @@ def _draw(id_: Column, name: Column) -> Column:
     return code32(F.concat_ws("|", id_, name))
 
 
-def _sampled_by_name(elements: DataFrame, limits: dict[str, float]) -> DataFrame:
-    """Values whose draw is below the limit of their name, few names.
-
-    Names are drawn before values are looked at: the filter needs the id and
-    ``prop_set`` only and moves below the projection that builds ``props``, so
-    just the rows that give a sample value have their values cast to text.
-    """
-    id_col = F.col("edge_id" if "edge_id" in elements.columns else "node_id")
-    bounds = F.create_map(*[F.lit(x) for entry in limits.items() for x in entry])
-    # the id enters as an argument: a column caught by a lambda in a filter
-    # above a union breaks constraint propagation in the optimizer
-    draws = F.zip_with(
-        F.array_repeat(id_col, F.size("prop_set")),
-        "prop_set",
-        lambda i, name: F.struct(_draw(i, name).alias("draw"), name.alias("name")),
-    )
-    drawn = F.filter(draws, lambda d: d["draw"] < F.try_element_at(bounds, d["name"]))
-    return (
-        elements.filter(F.size(drawn) > 0)
-        .select(id_col.alias("id"), "props", F.explode(drawn).alias("d"))
-        .select(
-            "id",
-            F.col("d.name").alias("name"),
-            F.try_element_at("props", F.col("d.name")).alias("value"),
-            F.col("d.draw").alias("draw"),
-        )
-    )
-
-
 def sample_values(
     elements: DataFrame,
     n: int = SAMPLE_VALUES,
@@ -116,17 +84,17 @@ def sample_values(
         *keys,
         F.least(F.lit(2.0**32), wanted * F.lit(2.0**32) / F.col("total")).alias("below"),
     )
-    few = limits.limit(INLINE_NAMES + 1).collect() if scope == "global" else []
-    if 0 < len(few) <= INLINE_NAMES:
-        drawn = _sampled_by_name(elements, {r["name"]: r["below"] for r in few})
-    else:
-        drawn = (
-            property_values(elements, scope)
-            .filter(F.col("value").isNotNull())
-            .withColumn("draw", _draw(F.col("id"), F.col("name")))
-            .join(bounded_lookup(limits), keys)
-            .filter(F.col("draw") < F.col("below"))
+    # names are drawn before values are looked up: most values are never cast to text
+    id_col = F.col("edge_id" if "edge_id" in elements.columns else "node_id")
+    drawn = (
+        elements.select(
+            id_col.alias("id"), *keys[:-1], "props", F.explode("prop_set").alias("name")
         )
+        .withColumn("draw", _draw(F.col("id"), F.col("name")))
+        .join(limits, keys)
+        .filter(F.col("draw") < F.col("below"))
+        .select("id", *keys, F.try_element_at("props", F.col("name")).alias("value"), "draw")
+    )
     order = Window.partitionBy(*keys).orderBy("draw", "id")
     return (
         drawn.withColumn("rank", F.row_number().over(order))
@@ -174,9 +142,8 @@ def infer_types_sample(
     totals: DataFrame | None = None,
 ) -> DataFrame:
     """(keys..., total, dtype) from at most ``n`` values of each property."""
-    sampled = sample_values(elements, n, scope, totals)
-    return types_from_counts(
-        value_counts(sampled, scope, strict_dates), "unanimous", force_string
+    return infer_types(
+        elements, "sample", "unanimous", n, force_string, scope, strict_dates, totals
     )
 
 
@@ -187,8 +154,32 @@ def infer_types_stats(
     strict_dates: bool = False,
 ) -> DataFrame:
     """(keys..., total, counts, dtype, support) from all values, in one pass."""
-    counts = value_counts(property_values(elements, scope), scope, strict_dates)
-    return types_from_counts(counts, "majority", force_string)
+    return infer_types(
+        elements, "all", "majority", 0, force_string, scope, strict_dates
+    )
+
+
+def infer_types(
+    elements: DataFrame,
+    values: str = "all",
+    rule: str = "unanimous",
+    n: int = SAMPLE_VALUES,
+    force_string: Sequence[str] = FORCE_STRING,
+    scope: str = "global",
+    strict_dates: bool = False,
+    totals: DataFrame | None = None,
+) -> DataFrame:
+    """Datatypes of properties: from ``all`` values or a ``sample``, by one of two rules.
+
+    By default a type is what all values pass, in batches and streams alike.
+    """
+    if values == "all":
+        taken = property_values(elements, scope)
+    elif values == "sample":
+        taken = sample_values(elements, n, scope, totals)
+    else:
+        raise ValueError("values is 'all' or 'sample'")
+    return types_from_counts(value_counts(taken, scope, strict_dates), rule, force_string)
 
 
 @dataclass(frozen=True)
@@ -206,7 +197,9 @@ def type_error_report(
     n: int = SAMPLE_VALUES,
     force_string: Sequence[str] = FORCE_STRING,
     totals: DataFrame | None = None,
+    top: int | None = None,
 ) -> TypeErrorReport:
+    """All mismatches by default, the ``top`` widest on request."""
     sampled = types_from_counts(
         value_counts(sample_values(elements, n, "global", totals)), "majority", force_string
     ).select(
@@ -250,9 +243,10 @@ def type_error_report(
     mismatches = (
         properties.filter(~F.col("matches"))
         .orderBy(F.desc("delta"), "name")
-        .limit(TOP_MISMATCHES)
         .select("name", "sample_type", "full_type", "sample_support", "full_support", "delta")
     )
+    if top is not None:
+        mismatches = mismatches.limit(top)
     return TypeErrorReport(properties, summary, histogram, mismatches)
 
 

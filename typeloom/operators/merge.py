@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from typeloom.functions.hashing import joined, key_of
 from typeloom.functions.labels import clean_set
-from typeloom.functions.sizing import bounded_lookup, pin
+from typeloom.functions.sizing import pin
 from typeloom.operators.patterns import edge_pattern_id, node_pattern_id, normal_edges, normal_nodes
 from typeloom.operators.setjoin import connected_components, jaccard_pairs
 
@@ -268,7 +268,7 @@ def merge_clusters_by_jaccard(
     known = sets.filter(F.size("labels") > 0)
     distinct_sets = known.select(F.col("set_id").alias("id"), F.col("labels").alias("items"))
     distinct_sets = distinct_sets.distinct()
-    pairs = jaccard_pairs(distinct_sets, distinct_sets, threshold)
+    pairs = jaccard_pairs(distinct_sets, distinct_sets, threshold, below=True)
     groups = connected_components(distinct_sets, pairs)
     return sets.join(groups, sets.set_id == groups.id, "left").select(
         "cluster_id",
@@ -346,7 +346,7 @@ def edge_type_members(edges: DataFrame) -> DataFrame:
 
 
 def _assign(elements: DataFrame, typed: DataFrame) -> DataFrame:
-    lookup = bounded_lookup(typed.select("pattern_id", "type_id").distinct())
+    lookup = typed.select("pattern_id", "type_id").distinct()
     return elements.join(lookup, "pattern_id").drop("pattern_id")
 
 

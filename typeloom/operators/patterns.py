@@ -35,14 +35,14 @@ def presence(df: DataFrame, names: Sequence[str], id_col: str = "node_id") -> Da
 
 
 def node_pattern_id() -> Column:
-    return key_of(label_key(F.col("labels")), joined(F.col("prop_set")))
+    return key_of(joined(F.col("labels")), joined(F.col("prop_set")))
 
 
 def edge_pattern_id() -> Column:
     return key_of(
         F.col("edge_type"),
-        label_key(F.col("src_labels")),
-        label_key(F.col("dst_labels")),
+        joined(F.col("src_labels")),
+        joined(F.col("dst_labels")),
         joined(F.col("prop_set")),
     )
 

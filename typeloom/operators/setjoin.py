@@ -32,12 +32,15 @@ def _prefixes(sets: DataFrame, frequency: DataFrame, threshold: float) -> DataFr
     ).select(F.col("entry.token").alias("token"), "id", "items", "size")
 
 
-def jaccard_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+def jaccard_pairs(
+    left: DataFrame, right: DataFrame, threshold: float, below: bool = False
+) -> DataFrame:
     """(left_id, right_id, jaccard) of all pairs of sets with Jaccard >= threshold.
 
     Both sides are (id, items), with ids unique per side and items distinct.
     Exact: prefixes and sizes only sort out pairs that cannot reach the
-    threshold.  Empty sets match nothing.
+    threshold.  Empty sets match nothing.  ``below`` asks for left_id < right_id only:
+    where both sides are one table, each pair then comes once.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
@@ -63,6 +66,7 @@ def jaccard_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFr
     common = F.size(F.array_intersect("left_items", "right_items"))
     return (
         a.join(b, "token")
+        .filter(F.col("left_id") < F.col("right_id") if below else F.lit(True))
         .filter(fits)
         .withColumn("jaccard", common / (F.col("left_size") + F.col("right_size") - common))
         .filter(F.col("jaccard") >= threshold)

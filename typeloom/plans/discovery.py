@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -26,8 +26,7 @@ from typeloom.operators.evaluate import (
 from typeloom.operators.infer import (
     SAMPLE_VALUES,
     annotate_types,
-    infer_types_sample,
-    infer_types_stats,
+    infer_types,
 )
 from typeloom.operators.merge import (
     EDGE_KEYS,
@@ -192,28 +191,26 @@ def discover(
     method: str = "lsh",
     threshold: float = JACCARD_THRESHOLD,
     split_labels: bool = False,
-    types: str = "sample",
+    values: str = "all",
+    rule: str = "unanimous",
     sample: int = SAMPLE_VALUES,
     **options,
 ) -> Schema:
     """Schema of a graph by ``lsh``, ``minhash`` or ``kmeans``.
 
     The elements are read once each for patterns, values and distinct pairs;
-    clustering and merging see the pinned pattern tables only.  ``types`` says
-    whether datatypes come from a ``sample`` or from ``all`` values.
+    clustering and merging see the pinned pattern tables only.  ``values`` says
+    whether datatypes come from ``all`` values or a ``sample``, ``rule`` whether they are what all
+    values pass (``unanimous``) or most (``majority``).
     """
-    if types not in ("sample", "all"):
-        raise ValueError("types is 'sample' or 'all'")
     tables = pattern_tables(graph)
     nodes, edges, by_ends = merge_all(
         tables.nodes, tables.edges, method, threshold, split_labels, options
     )
 
     def dtypes(elements: DataFrame, patterns: DataFrame) -> DataFrame:
-        if types == "all":
-            return infer_types_stats(elements)
         totals = property_census(patterns).withColumnRenamed("n", "total")
-        return infer_types_sample(elements, sample, totals=totals)
+        return infer_types(elements, values, rule, sample, totals=totals)
 
     node_dtypes = dtypes(graph.nodes, tables.nodes)
     edge_dtypes = dtypes(graph.edges, tables.edges)
@@ -247,11 +244,18 @@ def assemble_schema(
 
 
 def discover_all(
-    graph: PropertyGraph, methods: Sequence[str] = METHODS, **options
+    graph: PropertyGraph,
+    methods: Sequence[str] = METHODS,
+    by_method: Mapping[str, Mapping] | None = None,
+    **options,
 ) -> DataFrame:
     """Scores of every method, one row per method and element kind.
 
-    All methods share one set of pattern tables.
+    All methods share one set of pattern tables.  ``options`` go to all of them,
+    ``by_method`` has those of single methods, as ``{"kmeans": {"k": 5}}``.
     """
     tables = pattern_tables(graph)
-    return union_all([score_method(tables, method, **options) for method in methods])
+    own = by_method or {}
+    return union_all(
+        [score_method(tables, m, **{**options, **own.get(m, {})}) for m in methods]
+    )

@@ -22,8 +22,15 @@ _HEADER = re.compile(r"^(?P<name>[^:]*)(?::(?P<kind>[A-Za-z_]+(?:\[\])?)(?:\((?P
 _ROLES = ("ID", "START_ID", "END_ID", "LABEL", "TYPE", "IGNORE")
 
 
-def _read(spark: SparkSession, path: str, sep: str) -> DataFrame:
-    return spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=False)
+def _read(spark: SparkSession, path: str, sep: str, multiline: bool) -> DataFrame:
+    return spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=multiline)
+
+
+def _value(column: str, header: str) -> Column:
+    """A property's text; a list (``name:TYPE[]``) is parted by commas."""
+    if header.rstrip().endswith("[]"):
+        return F.regexp_replace(column, ";", ",")
+    return F.col(column)
 
 
 def _parse_header(columns: Sequence[str]) -> tuple[dict[str, tuple[str, str]], dict[str, str]]:
@@ -70,7 +77,7 @@ def _node_file(df: DataFrame, label: str, id_column: str | int | None) -> DataFr
     out = plain.select(
         _scoped(position[key], group).alias("_key"),
         *[F.regexp_replace(position[roles["LABEL"][0]], ";", ":").alias(c) for c in label_cols],
-        *[F.col(position[c]).alias(n) for c, n in props.items()],
+        *[_value(position[c], c).alias(n) for c, n in props.items()],
     )
     return nodes_from_wide(out, "_key", list(props.values()), label_cols, [label])
 
@@ -93,7 +100,7 @@ def _edge_file(
         _scoped(position[start], start_group).alias("_src"),
         _scoped(position[end], end_group).alias("_dst"),
         type_.alias("_type"),
-        *[F.col(position[c]).alias(n) for c, n in props.items()],
+        *[_value(position[c], c).alias(n) for c, n in props.items()],
     )
     return edges_from_wide(out, "_src", "_dst", "_type", list(props.values()))
 
@@ -106,18 +113,20 @@ def read_csv_graph(
     id_column: str | int | None = None,
     src_column: str | int | None = None,
     dst_column: str | int | None = None,
+    multiline: bool = True,
 ) -> PropertyGraph:
     """Graph from ``{label: [path, ...]}`` and ``{edge type: [path, ...]}``.
 
-    Key columns of plain headers are given by name or by position.
+    Key columns of plain headers are given by name or by position.  A quoted value may hold
+    line breaks; without ``multiline`` it may not, and large files are split.
     """
     node_frames = [
-        _node_file(_read(spark, path, sep), label, id_column)
+        _node_file(_read(spark, path, sep, multiline), label, id_column)
         for label, paths in nodes.items()
         for path in paths
     ]
     edge_frames = [
-        _edge_file(_read(spark, path, sep), edge_type, src_column, dst_column)
+        _edge_file(_read(spark, path, sep, multiline), edge_type, src_column, dst_column)
         for edge_type, paths in edges.items()
         for path in paths
     ]

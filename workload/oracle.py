@@ -6,12 +6,6 @@ clusters of one method; ``merged`` adds types; each is a list of CTEs.
 
 from __future__ import annotations
 
-from typeloom.functions.values import (
-    DOUBLE_PATTERN,
-    INTEGER_PATTERN,
-    IP_PATTERN,
-    LENIENT_DATE_PATTERN,
-)
 from workload.graph import graph_ctes
 
 SEED = 42
@@ -20,6 +14,18 @@ FS = "chr(30)"
 IS = "chr(31)"
 
 
+# The value grammar, written anew here so that a fault in the package's patterns shows.
+DIGITS = "[0-9]+"
+INTEGER_PATTERN = f"^([+]|-)?{DIGITS}$"
+DECIMAL = f"({DIGITS}|{DIGITS}[.]|{DIGITS}[.]{DIGITS}|[.]{DIGITS})([eE]([+]|-)?{DIGITS})?"
+HEXADECIMAL = (
+    "0[xX]([0-9a-fA-F]+|[0-9a-fA-F]+[.]|[0-9a-fA-F]*[.][0-9a-fA-F]+)[pP]([+]|-)?[0-9]+"
+)
+DOUBLE_PATTERN = f"^([+]|-)?(NaN|Infinity|({DECIMAL}|{HEXADECIMAL})[fFdD]?)$"
+LENIENT_DATE_PATTERN = "^(-[0-9]|[0-9])"
+IP_PATTERN = "^([0-9]|[0-9][0-9]|[0-9][0-9][0-9])([.]([0-9]|[0-9][0-9]|[0-9][0-9][0-9])){3}$"
+
+
 def c32(text: str) -> str:
     return f"(('0x' || substr(md5({text}), 1, 8))::BIGINT)"
 

@@ -13,6 +13,7 @@ from typeloom.functions.values import flag_columns
 from typeloom.model import PropertyGraph
 from typeloom.operators import cardinality as card
 from typeloom.operators import census, cluster, encode, evaluate, infer, merge, noise, patterns, render
+from typeloom.plans.discovery import Schema
 from typeloom.sources import batches, csv_graph, wide
 from typeloom.streaming import schema_from_state, update_state
 from workload import oracle as sql
@@ -611,16 +612,20 @@ TYPING = [*CLEAN, sql.typing("node"), sql.typing("edge")]
 @register(
     "value_predicates",
     sql.query(
-        [*CLEAN, f"tested as (select id, name, {sql.flags()} from node_values)"],
-        "select id, name, is_integer::INTEGER as is_integer, is_double::INTEGER as is_double,"
+        [
+            *CLEAN,
+            f"tested as (select 'node' as element, id, name, {sql.flags()} from node_values"
+            f" union all select 'edge', id, name, {sql.flags()} from edge_values)",
+        ],
+        "select element, id, name, is_integer::INTEGER as is_integer, is_double::INTEGER as is_double,"
         " is_date::INTEGER as is_date, is_boolean::INTEGER as is_boolean, is_ip::INTEGER as is_ip"
         " from tested",
     ),
 )
 def value_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = infer.property_values(load_graph(spark, sf_dir).nodes)
+    values = _both_kinds(infer.property_values, spark, sf_dir)
     flags = [f.cast("int").alias(n) for n, f in flag_columns(F.col("value")).items()]
-    return values.select("id", "name", *flags)
+    return values.select("element", "id", "name", *flags)
 
 
 def _both_kinds(fn, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -713,7 +718,7 @@ def type_error_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
         """select name, sample_type, full_type, round(sample_support, 6) as sample_support,
           round(full_support, 6) as full_support, round(delta, 6) as delta from (
             select * from compared where sample_type <> full_type
-            order by delta desc, name limit 50)""",
+            order by delta desc, name)""",
     ),
 )
 def type_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -737,8 +742,8 @@ ANNOTATED = [
     sql.typing("edge"),
     sql.CARD,
     f"""
-ndt as (select name, {sql.UNANIMOUS} as dtype from nodesample),
-edt as (select name, {sql.UNANIMOUS} as dtype from edgesample),
+ndt as (select name, {sql.UNANIMOUS} as dtype from nodefull),
+edt as (select name, {sql.UNANIMOUS} as dtype from edgefull),
 nprops as (
   select p.type_id, p.p.name as name, p.p.man as man, coalesce(d.dtype, 'Unknown') as dtype
   from (select type_id, unnest(props) as p from ntypes) p left join ndt d on d.name = p.p.name),
@@ -753,8 +758,8 @@ def annotated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     graph = lossy_graph(spark, sf_dir)
     nodes = merge.merge_nodes(node_clusters(spark, sf_dir, "minhash")).types
     edges = merge.merge_edges(edge_clusters(spark, sf_dir), ("type",)).types
-    node_types = infer.annotate_types(nodes, infer.infer_types_sample(graph.nodes))
-    edge_types = infer.annotate_types(edges, infer.infer_types_sample(graph.edges))
+    node_types = infer.annotate_types(nodes, infer.infer_types(graph.nodes))
+    edge_types = infer.annotate_types(edges, infer.infer_types(graph.edges))
     found = card.cardinalities(graph.edges)
     return pin(node_types), pin(card.annotate_cardinality(edge_types, found))
 
@@ -1130,9 +1135,12 @@ def _state_sql(kind: str, key: str, table: str) -> str:
 )
 def incremental_node_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     batched = batches.node_batches(lossy_graph(spark, sf_dir).nodes, count=N_BATCHES)
+    folder = f"{work_folder(spark)}/nodes"
+    batches.write_batches(batched, folder)  # each batch is then read by itself
     state = None
     for batch in range(N_BATCHES):
-        part = merge.node_state(patterns.node_patterns(batched.filter(F.col("batch_id") == batch)))
+        part = spark.read.parquet(folder).filter(F.col("batch_id") == batch)
+        part = merge.node_state(patterns.node_patterns(part))
         state = part if state is None else merge.merge_node_state(state, part)
     return state
 
@@ -1140,21 +1148,35 @@ def incremental_node_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("incremental_edge_state", sql.query(LOSSY, _state_sql("e", "edge_type", "ep")))
 def incremental_edge_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     batched = batches.edge_batches(lossy_graph(spark, sf_dir).labeled_edges(), count=N_BATCHES)
+    folder = f"{work_folder(spark)}/edges"
+    batches.write_batches(batched, folder)
     state = None
     for batch in range(N_BATCHES):
-        part = merge.edge_state(patterns.edge_patterns(batched.filter(F.col("batch_id") == batch)))
+        part = spark.read.parquet(folder).filter(F.col("batch_id") == batch)
+        part = merge.edge_state(patterns.edge_patterns(part))
         state = part if state is None else merge.merge_edge_state(state, part)
     return state
 
 
-@register("node_batches")
+def _batches_sql(kind: str) -> str:
+    """The batch of an element is the code of its id, modulo the number of batches."""
+    return sql.query(
+        CLEAN,
+        f"""select {sql.c32(f"{kind}_id")} % b.n as batch_id, count(*) as n
+        from {kind}s, (select ceil(count(*) / ceil(count(*) / {N_BATCHES}::DOUBLE))::BIGINT as n
+          from {kind}s) b
+        group by 1""",
+    )
+
+
+@register("node_batches", _batches_sql("node"))
 def node_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = load_graph(spark, sf_dir).nodes
     size = -(-nodes.count() // N_BATCHES)
     return batches.node_batches(nodes, size).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("edge_batches")
+@register("edge_batches", _batches_sql("edge"))
 def edge_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = load_graph(spark, sf_dir).edges
     size = -(-edges.count() // N_BATCHES)
@@ -1182,64 +1204,89 @@ def stream_state(spark: SparkSession, sf_dir: str) -> str:
     return f"{folder}/state"
 
 
-@register(
-    "stream_equals_batch",
-    sql.query(
-        MERGED_MH,
-        "select 'node' as element, array_to_string(labels, ',') as labels, '' as src_labels,"
-        f" '' as dst_labels, n, {sql.PROPS_TEXT} as props from ntypes union all"
-        " select 'edge', array_to_string(types, ','), array_to_string(srcs, ','),"
-        f" array_to_string(dsts, ','), n, {sql.PROPS_TEXT} from rtypes",
-    ),
-)
-def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = schema_from_state(spark, stream_state(spark, sf_dir), "minhash")
+def typed_props_text() -> Column:
+    """name:count:m or o:datatype of every property."""
+    one = F.transform(
+        "props",
+        lambda p: F.concat_ws(
+            ":",
+            p["name"],
+            p["n_present"].cast("string"),
+            F.when(p["mandatory"], "m").otherwise("o"),
+            p["dtype"],
+        ),
+    )
+    return F.array_join(one, ",").alias("props")
+
+
+def schema_text(schema: Schema) -> DataFrame:
+    """Everything a schema says of its types, node types and edge types."""
+    none = F.lit("")
     nodes = schema.node_types.select(
         F.lit("node").alias("element"),
+        "type_id",
         text("labels"),
-        F.lit("").alias("src_labels"),
-        F.lit("").alias("dst_labels"),
+        none.alias("src_labels"),
+        none.alias("dst_labels"),
         "n",
-        props_text(),
+        typed_props_text(),
+        none.alias("cardinality"),
     )
     edges = schema.edge_types.select(
         F.lit("edge").alias("element"),
+        "type_id",
         F.array_join("edge_types", ",").alias("labels"),
         text("src_labels"),
         text("dst_labels"),
         "n",
-        props_text(),
+        typed_props_text(),
+        "cardinality",
     )
     return nodes.unionByName(edges)
 
 
-# ------------------------------------------------------------------- pipelines
-
+def _schema_sql(method: str) -> str:
+    def typed(types: str, kind: str) -> str:
+        return f"""
+        select p.type_id, string_agg(p.p.name || ':' || p.p.cnt::varchar
+            || case when p.p.man then ':m:' else ':o:' end || coalesce(d.dtype, 'Unknown'), ','
+            order by p.p.name) as props
+        from (select type_id, unnest(props) as p from {types}) p
+        left join (select name, {sql.UNANIMOUS} as dtype from {kind}full) d on d.name = p.p.name
+        group by p.type_id"""
 
-def _discovered(spark: SparkSession, sf_dir: str, method: str, **options) -> DataFrame:
-    schema = discover(lossy_graph(spark, sf_dir), method, **options)
-    return node_type_text(schema.node_types).withColumn("element", F.lit("node")).unionByName(
-        edge_type_text(schema.edge_types)
-        .withColumnRenamed("edge_types", "labels")
-        .drop("src_labels", "dst_labels")
-        .withColumn("element", F.lit("edge"))
+    return sql.query(
+        [*sql.merged(LOSS, method), sql.typing("node"), sql.typing("edge"), sql.CARD],
+        f"""select 'node' as element, t.type_id, array_to_string(labels, ',') as labels,
+          '' as src_labels, '' as dst_labels, n, coalesce(p.props, '') as props, '' as cardinality
+        from ntypes t left join ({typed("ntypes", "node")}) p on p.type_id = t.type_id
+        union all
+        select 'edge', t.type_id, array_to_string(types, ','), array_to_string(srcs, ','),
+          array_to_string(dsts, ','), n, coalesce(p.props, ''),
+          array_to_string(list_transform(t.types, lambda x: c.m[x]), ',')
+        from rtypes t left join ({typed("rtypes", "edge")}) p on p.type_id = t.type_id,
+          (select map(list(edge_type), list(cardinality)) as m from card) c""",
     )
 
 
-def _discovered_sql(method: str) -> str:
-    return sql.query(
-        sql.merged(LOSS, method),
-        f"""select {NODE_TYPE_TEXT}, 'node' as element from ntypes
-        union all select type_id, array_to_string(types, ','), n, {sql.PROPS_TEXT}, 'edge' from rtypes""",
-    )
+@register("stream_equals_batch", _schema_sql("minhash"))
+def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema_text(schema_from_state(spark, stream_state(spark, sf_dir), "minhash"))
+
+
+# ------------------------------------------------------------------- pipelines
+
+
+def _discovered(spark: SparkSession, sf_dir: str, method: str, **options) -> DataFrame:
+    return schema_text(discover(lossy_graph(spark, sf_dir), method, **options))
 
 
-@register("discover_lsh", _discovered_sql("lsh"))
+@register("discover_lsh", _schema_sql("lsh"))
 def discover_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _discovered(spark, sf_dir, "lsh")
 
 
-@register("discover_minhash", _discovered_sql("minhash"))
+@register("discover_minhash", _schema_sql("minhash"))
 def discover_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _discovered(spark, sf_dir, "minhash")
 
