@@ -111,6 +111,10 @@ def test_each_leaf_is_scored_once():
         assert inputs.tolist() == [9, *r] and first[row == i].tolist()[0]
         for k in np.flatnonzero(row == i)[1:]:
             assert before[k].tolist() == x[k - 1].tolist() and not first[k]
+    some = np.array([0, 2, len(x) - 1])
+    for a, b in zip(windows(np.concatenate(rows), sizes, 9, some), (before, x, targets, first, row), strict=True):
+        real = np.ones(len(some), bool) if a.ndim == 1 or a is not before else ~first[some]
+        assert a[real].tolist() == b[some][real].tolist() or a.shape == before[some].shape and (a[~first[some]] == b[some][~first[some]]).all()
 
 
 def small_model(seed=0):
