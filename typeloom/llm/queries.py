@@ -89,7 +89,7 @@ ORACLES["op5_warc"] = warc.ORACLE_SQL.replace("refers_to\nfrom", "refers_to, tru
 
 @query
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path("byte_bpe_50k.json")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return lm_scores(table(spark, sf_dir, "documents"), fold_of("doc_id", 7) == 2, path)
 
 
