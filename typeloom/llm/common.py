@@ -22,10 +22,13 @@ def worker_cache(name: str, make: Callable[[], object]) -> object:
     """A value kept as long as the Python worker lives, across its tasks.
 
     Functions of this package reach a worker by value, so their globals are new
-    in every task; a module of the interpreter's own table is not.
+    in every task; a module of the interpreter's own table is not.  A worker keeps one
+    value: that of another name is dropped, so the stages of a pipeline do not add up.
     """
     kept = sys.modules.setdefault("_typeloom_worker", types.ModuleType("_typeloom_worker"))
     if not hasattr(kept, name):
+        for other in [k for k in vars(kept) if not k.startswith("__")]:
+            delattr(kept, other)
         setattr(kept, name, make())
     return getattr(kept, name)
 

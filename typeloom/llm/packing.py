@@ -27,7 +27,7 @@ from typeloom.functions.sizing import work_folder
 from typeloom.llm.common import text_or_empty, text_slices, worker_cache
 
 #: Words whose ids a worker keeps.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 300_000
 #: Every tokenizer of the word kind drops this white space, so words can be encoded alone.
 WORD = re.compile(r"[^ \t\n\r]+")
 #: Without these, lower-casing the text first changes no id.
@@ -116,7 +116,8 @@ def concatenate_and_cut(encoded: DataFrame, window: int) -> DataFrame:
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base_of = shared.value
-        for batch in batches:
+        worker_cache("pieces", dict)  # words that this worker may keep are no longer needed
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             rows, starts, lengths, pieces, sequences, offsets = [], [], [], [], [], []
             columns = [batch.column(c).to_pylist() for c in ("part", "start", "n")]
             ids = batch.column("ids")
