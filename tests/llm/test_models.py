@@ -11,6 +11,7 @@ import public_tokenizers as P
 
 from frames import ODD, odd_docs, rows_of
 from pyspark.sql import functions as F
+from typeloom.llm import lm_scoring
 from typeloom.llm import toxicity as T
 from typeloom.llm import url_filters as U
 from typeloom.llm.common import fold_of
@@ -91,6 +92,18 @@ def test_base_scores(spark):
     assert lm_scores(odd_docs(spark, []), F.lit(False), RANKS).count() == 0
 
 
+def test_a_chunk_has_no_more_documents_than_places(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "CHUNK_DOCS", 4)
+    rows = [(i, f"word{i % 3} x{i} word1") for i in range(30)]
+    docs = odd_docs(spark, rows).coalesce(1)
+    parts = lm_scoring.tokenized(docs, F.lit(False), RANKS, "doc_id", "text").filter("word is null")
+    sizes = parts.groupBy("chunk").agg(F.max("place").alias("last"), F.count("*").alias("n")).collect()
+    assert all(r["n"] <= 4 and r["last"] == r["n"] - 1 for r in sizes) and sum(r["n"] for r in sizes) == 30
+    scored = lm_scores(docs, fold_of("doc_id", 7) == 2, RANKS).withColumn("base", F.round("base_score", 6))
+    got = rows_of(scored, "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base")
+    assert got == sorted(brute_base(rows), key=repr)
+
+
 def test_subwords_make_up_the_words():
     encoder = SubwordEncoder(RANKS)
     words = ["a", "ab\u00a0c", "é" * 9, "x\x85", "don't", "1234567", "中文"]
