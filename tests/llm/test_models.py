@@ -104,6 +104,35 @@ def test_a_chunk_has_no_more_documents_than_places(spark, monkeypatch):
     assert got == sorted(brute_base(rows), key=repr)
 
 
+def test_every_training_block_is_trained_on(spark, monkeypatch):
+    weights = []
+    average = lm_scoring._averaged
+    monkeypatch.setattr(
+        lm_scoring,
+        "_averaged",
+        lambda trained, shape: weights.extend(r["weight"] for r in trained.collect()) or average(trained, shape),
+    )
+    ids = [np.arange(n, dtype="<u2") % 300 for n in (0, 1, BLOCK - 1, BLOCK, 1000, 5000)]
+    docs = spark.createDataFrame([(0, bytearray(i.tobytes())) for i in ids], "chunk long, ids binary")
+    model = lm_scoring.train_model(docs.repartition(2), RANKS)
+    assert sum(weights) == sum(len(i) // BLOCK + 1 for i in ids)
+    assert np.isfinite(model.params["E"]).all() and np.abs(model.params["W"]).max() > 0
+
+
+def test_passes_go_on_and_long_ones_stay_finite():
+    model, random_ = small_model(2)
+    x = random_.integers(0, 50, (600, BLOCK)).astype(np.int32)
+    blocks = (np.roll(x, 1, axis=0), x, np.roll(x, -1, axis=1), np.zeros(600, bool))
+    start, _ = model.gradient(*blocks)
+    for _ in range(3):
+        model.train(*blocks)
+    assert model.steps == 3 * math.ceil(600 / lm_scoring.BATCH)
+    assert model.gradient(*blocks)[0] < start
+    model.p["Wq"] *= 1e3  # scores far beyond what an exponential holds
+    model._project()
+    assert np.isfinite(model.log_probability(*blocks)).all()
+
+
 def test_subwords_make_up_the_words():
     encoder = SubwordEncoder(RANKS)
     words = ["a", "ab\u00a0c", "é" * 9, "x\x85", "don't", "1234567", "中文"]
