@@ -119,6 +119,30 @@ def test_every_training_block_is_trained_on(spark, monkeypatch):
     assert np.isfinite(model.params["E"]).all() and np.abs(model.params["W"]).max() > 0
 
 
+def test_rare_subwords_are_told_apart_and_the_window_is_wide(spark):
+    assert BLOCK >= 16
+    draw = np.random.default_rng(5)
+    # more common subwords than leaves; two rarer ones of one leaf tell what comes two places later
+    texts = [np.tile(np.arange(1000, 2100, dtype="<u2"), 30) for _ in range(34)]
+    texts += [np.tile(np.array([7, 9], "<u2"), 500)]
+    for i in range(2000):
+        rare, after = ((40_000, 7), (40_001, 9))[i % 2]
+        texts.append(np.array([*draw.integers(100, 110, 3), rare, 50, after], "<u2"))
+    docs = spark.createDataFrame([(0, bytearray(i.tobytes())) for i in texts], "chunk long, ids binary")
+    model = lm_scoring.train_model(docs.coalesce(1), RANKS)
+    leaf = model.vocabulary.leaf
+    assert leaf[40_000] == leaf[40_001] and leaf[7] != leaf[9]
+    attention = model.attention()
+
+    def score(*ids):
+        return model.scores(np.array(ids, "<u2"), np.array([len(ids)]), attention)[0]
+
+    for rare, right, wrong in ((40_000, 7, 9), (40_001, 9, 7)):
+        start = (101, 102, 103, rare, 50)
+        gap = score(*start, right) - score(*start, wrong)
+        assert gap > 0.1
+
+
 def test_passes_go_on_and_long_ones_stay_finite():
     model, random_ = small_model(2)
     x = random_.integers(0, 50, (600, BLOCK)).astype(np.int32)
