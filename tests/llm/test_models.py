@@ -277,6 +277,29 @@ def test_mined_rules_match_as_plain_search(spark):
     assert got == want and got[402] == "block" and got[400] == "allow"
 
 
+def test_rules_of_any_size_of_input_and_place_in_a_url(spark):
+    # six blocked pages among 6,000 give a rule; so do late tokens of deep urls, and hosts without end
+    deep = "/".join(f"{c}x" for c in "abcdefghijklmnopqrst")
+    rows = [(["h:com", f"h:site{i % 97}", f"p:{i % 31}"], "allow") for i in range(6000)]
+    rows += [(["h:com", "h:tail"], "block")] * 6
+    rows += [([f"h:{x}" for x in deep.split("/")] + [late], label) for late, label in
+             (("q:bad", "block"), ("q:good", "allow")) for _ in range(9)]
+    rows += [(["h:com", f"h:bad{i}", "p:x"], "block") for i in range(2100) for _ in range(5)]
+    labels = spark.createDataFrame(rows, "tokens array<string>, label string")
+    mined = {" ".join(r["items"]): r for r in U.mine(labels).collect()}
+    assert mined["h:tail"]["confidence"] == 1.0 and mined["q:bad"]["confidence"] == 1.0
+    assert sum(k.startswith("h:bad") for k in mined) == 2100
+    assert not any(k.count(" ") and "q:bad" in k for k in mined)
+    frame = pages(spark, [f"http://bad{i}.com/x" for i in range(3)])
+    strange = spark.createDataFrame(
+        [(f"r{i}", [f"h:none{i}"], "block", 1.0, 0.1, f"h:none{i}") for i in range(2500)], U.EMPTY
+    )
+    late = spark.createDataFrame([("z", ["h:bad2"], "block", 0.9, 0.01, "h:bad0")], U.EMPTY)
+    late = late.withColumn("token", F.lit("h:bad0")).withColumn("items", F.array(F.lit("h:bad0")))
+    judged = U.judge_urls(frame.withColumn("url", F.regexp_replace("url", "bad[0-9]", "bad0")), (), strange.union(late))
+    assert {r["verdict"] for r in judged.collect()} == {"block"}
+
+
 def test_no_pages(spark):
     frame = pages(spark, URLS).limit(0)
     mined = U.mine(U.labelled(frame, RULES))

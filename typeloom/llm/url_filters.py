@@ -1,7 +1,7 @@
 """URL filters from association rules, with built-in functions only.
 
-FP-growth mines token combinations of labelled urls that imply a label; rules that are sure
-and frequent enough, and surer than the same rule with a token fewer, make up
+Token combinations of labelled urls that imply a label are mined level by level; rules that
+are sure and frequent enough, and surer than the same rule with a token fewer, make up
 the filter.  An inverted index from each rule's rarest token finds the rules of a url.
 A short list of given rules goes first.
 """
@@ -9,8 +9,8 @@ A short list of given rules goes first.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,17 +18,15 @@ from typeloom.functions.sizing import pin
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCK, ALLOW = "block", "allow"
-LABEL = "label:"
 #: Parts of host names that sell, track or deceive; pages of such hosts are labelled block.
 SEED_WORDS = (
     "casino", "pills", "viagra", "adult", "porn", "bets", "betting", "poker", "spam", "ads",
     "adserver", "track", "tracker", "malware", "phish", "warez", "loan", "replica",
 )
-#: Tokens of a url that mining sees, hosts first; more would let one long url make
-#: 2 to the power of its tokens many combinations.
-MINED_TOKENS = 12
-#: Rules that a filter keeps, the surest first: the bound of what is broadcast.
-MAX_RULES = 2000
+#: Tokens that a rule has at most.
+MAX_ITEMS = 4
+#: Groups that the urls of a token are dealt into where rules are looked up.
+SALTS = 8
 
 
 def with_parts(pages: DataFrame, url_column: str = "url") -> DataFrame:
@@ -116,44 +114,98 @@ EMPTY = (
 )
 
 
+def _looked_up(urls: DataFrame, index: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """``urls``, by their ``row`` in groups, joined with an index that every group has."""
+    dealt = urls.withColumn("salt", F.col("row") % SALTS)
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    return dealt.join(index.withColumn("salt", every), [*keys, "salt"], how).drop("salt")
+
+
+def _levels(baskets: DataFrame, verdict: str, min_count: int, max_items: int) -> list[DataFrame]:
+    """Tables (items, n, hits) of token sets that ``min_count`` urls of the verdict have, by size.
+
+    A set is extended if it is not yet certain and each of its tokens makes it rarer; of all
+    others a larger set is no surer than the same with a token fewer.
+    """
+    urls = baskets.select("row", "tokens", (F.col("label") == verdict).alias("hit"))
+    counted = [F.count(F.lit(1)).alias("n"), F.sum(F.col("hit").cast("long")).alias("hits")]
+    frequent = F.col("hits") >= min_count
+    single = urls.select("hit", F.explode("tokens").alias("item")).groupBy("item").agg(*counted)
+    level = pin(single.filter(frequent).select(F.array("item").alias("items"), "n", "hits"))
+    found, grown = [level], level.filter("hits < n").select("items", "n")
+    placed = _looked_up(
+        urls.select("row", "hit", F.explode("tokens").alias("token")),
+        grown.select(F.element_at("items", 1).alias("token")),
+        ["token"],
+        "inner",
+    )
+    rows = pin(placed.groupBy("row", "hit").agg(F.sort_array(F.collect_list("token")).alias("open")))
+    sets = rows.select("*", F.explode(F.transform("open", lambda x: F.array(x))).alias("items"))
+    for size in range(2, max_items + 1):
+        later = F.filter("open", lambda x: x > F.element_at("items", -1))
+        sets = sets.select(
+            "row",
+            "hit",
+            "open",
+            F.explode(F.transform(later, lambda x: F.concat("items", F.array(x)))).alias("items"),
+        )
+        level = pin(sets.groupBy("items").agg(*counted).filter(frequent))
+        found.append(level)
+        part = F.explode(F.transform("items", lambda x: F.array_remove("items", x))).alias("part")
+        parts = level.filter("hits < n").select("items", "n", part)
+        grown = pin(
+            parts.join(grown.select(F.col("items").alias("part"), F.col("n").alias("of_part")), "part")
+            .groupBy("items", "n")
+            .agg(F.min("of_part").alias("least"), F.count(F.lit(1)).alias("parts"))
+            .filter((F.col("parts") == size) & (F.col("n") < F.col("least")))
+            .select("items", "n")
+        )
+        if grown.isEmpty():
+            break
+        sets = _looked_up(sets, grown.select("items"), ["items"], "inner")
+    return found
+
+
 def mine(
     labels: DataFrame,
-    min_support: float = 0.002,
     min_count: int = 5,
     min_confidence: float = 0.8,
-    max_rules: int = MAX_RULES,
+    max_items: int = MAX_ITEMS,
     verdicts: Sequence[str] = (BLOCK,),
 ) -> DataFrame:
     """Rules (rule_id, items, verdict, confidence, support, token) of (tokens, label) rows.
 
-    Rules imply one of ``verdicts``; the verdict that urls get by default needs none.
-    ``token`` is the item of a rule that is rarest among the labelled urls.  The
-    table is pinned and has at most ``max_rules`` rows.
+    Rules imply one of ``verdicts``; the verdict that urls get by default needs none.  They hold
+    for ``min_count`` urls at least, however many urls there are, and have up to ``max_items``
+    tokens, from anywhere in a url.  ``token`` is the item of a rule that is rarest among the
+    labelled urls.  The table is pinned; it grows with the labelled urls.
     """
-    baskets = pin(
-        labels.select(
-            F.concat(
-                F.slice("tokens", 1, MINED_TOKENS), F.array(F.concat(F.lit(LABEL), F.col("label")))
-            ).alias("items")
-        )
-    )
-    n = baskets.count()
-    if n == 0:
+    baskets = pin(labels.select(F.monotonically_increasing_id().alias("row"), "tokens", "label"))
+    totals = {r["label"]: r["count"] for r in baskets.groupBy("label").count().collect()}
+    n = sum(totals.values())
+    verdicts = [v for v in verdicts if v in totals]
+    if not verdicts:
         return labels.sparkSession.createDataFrame([], EMPTY)
-    model = FPGrowth(
-        itemsCol="items", minSupport=max(min_support, min(1.0, min_count / n)), minConfidence=min_confidence
-    ).fit(baskets)
-    implied = F.element_at("consequent", 1)
-    rules = pin(
-        model.associationRules.filter(
-            implied.isin(*(LABEL + v for v in verdicts)) & (F.col("lift") > 1)
-        ).select(
-            F.sort_array("antecedent").alias("items"),
-            F.substring(implied, len(LABEL) + 1, 1 << 20).alias("verdict"),
-            "confidence",
-            "support",
+    tables, singles = [], []
+    for verdict in verdicts:
+        levels = _levels(baskets, verdict, min_count, max_items)
+        for level in levels:
+            sure = F.col("hits") / F.col("n")
+            tables.append(
+                level.filter((sure >= min_confidence) & (sure > totals[verdict] / n)).select(
+                    "items",
+                    F.lit(verdict).alias("verdict"),
+                    sure.alias("confidence"),
+                    (F.col("hits") / n).alias("support"),
+                )
+            )
+        singles.append(
+            levels[0].select(
+                F.element_at("items", 1).alias("item"), F.lit(verdict).alias("verdict"), "n"
+            )
         )
-    )
+    rules = pin(reduce(DataFrame.unionByName, tables))
+    single = reduce(DataFrame.unionByName, singles)
     shorter = rules.select(
         F.col("items").alias("part"), "verdict", F.col("confidence").alias("already")
     )
@@ -169,21 +221,14 @@ def mine(
         .select("items", "verdict")
         .distinct()
     )
-    kept = (
-        rules.join(redundant, ["items", "verdict"], "left_anti")
-        .withColumn("rule_id", F.array_join("items", " "))
-        .orderBy(F.desc("confidence"), F.desc("support"), "rule_id", "verdict")
-        .limit(max_rules)
-    )
-    single = (
-        model.freqItemsets.filter(F.size("items") == 1)
-        .select(F.element_at("items", 1).alias("item"), F.col("freq"))
+    kept = rules.join(redundant, ["items", "verdict"], "left_anti").withColumn(
+        "rule_id", F.array_join("items", " ")
     )
     rarest = (
         kept.select("rule_id", "verdict", F.explode("items").alias("item"))
-        .join(single, "item")
+        .join(single, ["item", "verdict"])
         .groupBy("rule_id", "verdict")
-        .agg(F.min_by("item", F.struct("freq", "item")).alias("token"))
+        .agg(F.min_by("item", F.struct("n", "item")).alias("token"))
     )
     return pin(
         kept.join(rarest, ["rule_id", "verdict"]).select(
@@ -199,7 +244,6 @@ def judge_urls(
     default: str = ALLOW,
     id_column: str = "page_id",
     url_column: str = "url",
-    max_rules: int = MAX_RULES,
 ) -> DataFrame:
     """(id, host, path, rule, verdict, mined_rule, confidence) of every row of ``pages``.
 
@@ -218,15 +262,14 @@ def judge_urls(
         tokens(F.col("host"), F.col("path"), F.col("query")).alias("tokens"),
         row.alias("row"),
     )
-    # of bounded size: mine() keeps max_rules rules of MINED_TOKENS tokens at most
-    index = F.broadcast(
-        mined.limit(max_rules).select(
-            "token", "items", F.struct(
-                "confidence", "support", F.size("items").alias("size"), "verdict", "rule_id"
-            ).alias("found")
-        )
+    index = mined.select(
+        "token", "items", F.struct(
+            "confidence", "support", F.size("items").alias("size"), "verdict", "rule_id"
+        ).alias("found")
+    )
+    looked_up = _looked_up(
+        placed.withColumn("token", F.explode_outer("tokens")), index, ["token"], "left"
     )
-    looked_up = placed.withColumn("token", F.explode_outer("tokens")).join(index, "token", "left")
     fits = F.size(F.array_except("items", "tokens")) == 0
     best = looked_up.groupBy("row", "_id", "host", "path", "given").agg(
         F.max(F.when(fits, F.col("found"))).alias("found")
