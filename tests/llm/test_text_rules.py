@@ -7,6 +7,8 @@ import re
 import pytest
 
 from frames import ODD, odd_docs, rows_of
+from pyspark.sql import functions as F
+from typeloom.llm import pii
 from typeloom.llm.decontamination import (
     SuffixAutomaton,
     _joined,
@@ -175,3 +177,22 @@ def test_em_tells_reliable_labelers():
     prior, rates = estimate([(yes, 300), (no, 700)])
     assert abs(prior - 0.3) < 0.05
     assert rates["field"][1][0] > 0.9 > 0.1 > rates["field"][1][1] and set(rates["near"]) == set(EXPECTED)
+
+
+def test_names_streets_and_values_behind_fields_are_candidates(spark):
+    key = "Ab1" + "xYz9" * 100
+    texts = {
+        "We met Alice Brandt yesterday.": ("Alice Brandt", "gazetteer", 1),
+        "He lives at 12 Elm Street now.": ("12 Elm Street", "gazetteer", 1),
+        "flown to New York often": ("New York", "gazetteer", -1),
+        "password: hunterhunter today": ("hunterhunter", "field", 1),
+        "the passport no X12345 was lost": ("X12345", "field", 1),
+        "the key is that we wait": ("that", "plain", -1),
+        f"see {key} here": (key, "mixed", 1),
+    }
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    text = F.col("text")
+    for row in docs.select("text", pii.candidates(text, pii.base_spans(text)).alias("c")).collect():
+        span, labeler, vote = texts[row["text"]]
+        found = {row["text"][c["start"] : c["end"]]: c for c in row["c"]}
+        assert found[span][labeler] == vote, row["text"]

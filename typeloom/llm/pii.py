@@ -31,19 +31,54 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BASE_KINDS = ("email", "ip", "card", "phone")
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
 
+#: Characters on either side that the context labelers see.
+CONTEXT = 48
+FIELDS = (
+    "ssn|passport|iban|account|acct|phone|tel|mobile|fax|e-?mail|contact|card|visa|born|dob|"
+    "password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key|key|login|user(?:name)?"
+)
 #: Candidates beyond the stated patterns: words of eight and more characters with a digit,
-#: and addresses whose signs are spelt out.
+#: addresses whose signs are spelt out, values behind a field word, groups of capitalised words
+#: with a number of a house before or behind them.
 WORDY = "A-Za-z0-9_+/-"
+VALUE = r"[^\s\"',;<>()]*[^\s\"',;<>().!?:]"
+GROUP = r"\p{Lu}[\p{L}'\u2019-]*+(?: \p{Lu}[\p{L}'\u2019-]*+){1,3}+"
 CANDIDATE = (
-    rf"(?<![{WORDY}])(?=[A-Za-z_+/-]{{0,64}}[0-9])[{WORDY}]{{8,256}}+(?![{WORDY}])"
+    rf"(?<![{WORDY}])(?=[A-Za-z_+/-]*+[0-9])[{WORDY}]{{8,}}+(?![{WORDY}])"
     r"|(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64}+ ?[(\[]at[)\]] ?[A-Za-z0-9-]{1,64}+"
     r"(?: ?[(\[]dot[)\]] ?[A-Za-z0-9-]{1,64}+){1,4}"
+    rf"|(?<=[\s:=#\"'])(?<=\b(?i:{FIELDS})\s{{0,2}}(?:(?i:no\.?|number|is)\s{{0,2}}[:=#]?|[:=#])\s{{0,2}}[\"']?)"
+    rf"(?!(?i:no|number|is)\b){VALUE}"
+    rf"|(?<![\p{{L}}\p{{N}}_])(?:[0-9]{{1,5}}[a-z]? )?+{GROUP}(?: [0-9]{{1,5}}+[a-z]?(?![\p{{L}}\p{{N}}_]))?+"
 )
-#: Characters on either side that the context labelers see.
-CONTEXT = 48
-FIELDS = (
-    "ssn|passport|iban|account|acct|phone|tel|mobile|fax|e-?mail|contact|card|visa|born|dob|"
-    "password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key|key|login|user(?:name)?"
+#: Gazetteers, lower-cased: given names, and what is capitalised but no person.
+NAMES = tuple(
+    "james john robert michael william david richard joseph thomas charles christopher daniel matthew anthony mark "
+    "steven paul andrew joshua kenneth kevin brian george edward ronald timothy jason jeffrey ryan jacob gary nicholas "
+    "eric jonathan stephen larry justin scott brandon benjamin samuel gregory frank alexander patrick jack mary patricia "
+    "jennifer linda elizabeth barbara susan jessica sarah karen lisa nancy betty margaret sandra ashley kimberly emily "
+    "donna michelle carol amanda melissa deborah stephanie rebecca laura sharon cynthia kathleen amy angela anna alice "
+    "maria ana carlos jose juan luis miguel pedro sofia lucia carmen pablo diego javier hans peter klaus jürgen wolfgang "
+    "stefan andreas ursula monika petra sabine claudia heike jean pierre michel jacques françois nathalie isabelle sophie "
+    "camille marie claire antoine mohammed ahmed fatima ali omar aisha wei ming li chen yuki hiroshi priya raj anil "
+    "ivan olga natasha dmitri".split()
+)
+PLACES = tuple(
+    "london paris berlin madrid rome vienna zurich geneva munich hamburg cologne frankfurt lyon marseille barcelona "
+    "seville lisbon dublin oslo stockholm copenhagen helsinki warsaw prague budapest athens moscow tokyo beijing shanghai "
+    "delhi mumbai sydney toronto montreal boston chicago houston dallas seattle denver miami atlanta england france germany "
+    "spain italy austria switzerland europe africa asia america canada mexico china japan india russia australia north south "
+    "east west new york san francisco los angeles united states kingdom january february march april may june july august "
+    "september october november december monday tuesday wednesday thursday friday saturday sunday the".split()
+)
+STREET = (
+    r"(?iu)(?:^[0-9]{1,5}[a-z]? .*\b(?:street|st|road|rd|avenue|ave|lane|drive|court|square|boulevard|rue|calle|platz|way)$"
+    r"|(?:\b(?:street|road|avenue|lane|rue|calle|platz|weg)|stra(?:ß|ss)e|gasse)\b.* [0-9]{1,5}[a-z]?$)"
+)
+#: Words that stand behind a field word without being its value.
+FILLER = (
+    r"(?i)^(?:an?|the|that|this|these|it|its|to|not|in|on|of|for|by|at|and|or|be|as|what|how|why|when|where|you|your|my|our|"
+    r"their|his|her|very|also|only|now|always|never|still|required|needed|valid|invalid|wrong|true|false|null|none)$"
 )
 ISSUED = (
     r"^(?:AKIA[A-Z0-9]{12,}|sk-[A-Za-z0-9]{16,}|gh[ps]_[A-Za-z0-9]{16,}|xox[abp]-[A-Za-z0-9-]{8,}"
@@ -57,7 +92,7 @@ MIXED = (
 NAMED = r"^[A-Za-z_+/-]*[a-z][A-Za-z_+/-]*[0-9]{1,2}$"
 PLAIN = r"^(?:[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}|[0-9]{1,2}[-/][0-9]{1,2}[-/][0-9]{2,4}|[0-9]{8,12}|[A-Za-z]+-[0-9]{1,4}|[A-Za-z-]+[0-9]{1,2})$"
 HARMLESS = r"(?i)(?:\bversion|\bv|\bchapter|\bsection|\bpage|\bfigure|\btable|\bstep|\bpart|\bvol(?:ume)?|\bno|©|\bcopyright|\blicen[sc]ed? [^\n]{0,40})[.,]?\s*$"
-LABELERS = ("issued", "field", "near", "mixed", "plain", "harmless")
+LABELERS = ("issued", "gazetteer", "field", "near", "mixed", "plain", "harmless")
 BUCKETS = ("length_bucket", "digit_bucket")
 SPAN = "struct<start: int, kind: int, end: int>"
 
@@ -147,16 +182,27 @@ def votes(x: Column) -> dict[str, Column]:
         out = F.when(yes, 1)
         return (out if no is None else out.when(no, -1)).otherwise(0)
 
+    def listed(names: tuple[str, ...]) -> Column:
+        return F.array(*map(F.lit, names))
+
     span, before, after = x["text"], x["before"], x["after"]
+    words = F.split(F.lower(span), r"[^\p{L}]+")
+    group = span.rlike(rf"^{GROUP}")
     return {
         "issued": vote(span.rlike(ISSUED) | span.rlike(SPELT)),
+        "gazetteer": vote(
+            (group & F.arrays_overlap(words, listed(NAMES))) | span.rlike(STREET),
+            group & (F.size(F.array_except(words, listed((*PLACES, "")))) == 0),
+        ),
         "field": vote(before.rlike(rf"(?i)\b(?:{FIELDS})\s*(?:no\.?|number|is)?\s*[:=#]?\s*[\"']?$")),
         "near": vote(
             before.rlike(rf"(?i)\b(?:{FIELDS})\b") | after.rlike(rf"(?i)\b(?:{FIELDS})\b")
         ),
         "mixed": vote(span.rlike(MIXED), span.rlike(NAMED)),
         # a bare number that is neither issued nor named, such as a card's with a false check digit
-        "plain": vote(F.lit(False), span.rlike(PLAIN) | span.rlike("^[0-9]+$")),
+        "plain": vote(
+            F.lit(False), span.rlike(PLAIN) | span.rlike("^[0-9]+$") | span.rlike(FILLER)
+        ),
         "harmless": vote(F.lit(False), before.rlike(HARMLESS)),
     }
 
@@ -164,7 +210,7 @@ def votes(x: Column) -> dict[str, Column]:
 def candidates(text: Column, base: Column) -> Column:
     """Array of candidate spans with votes; spans that overlap a base span are none."""
     free = F.filter(
-        located(text, CANDIDATE, text.rlike("[0-9]") | text.rlike(SPELT)),
+        located(text, CANDIDATE, F.length(text) > 0),
         lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])),
     )
     digits = lambda x: F.length(F.regexp_replace(x["text"], "[^0-9]", ""))
@@ -239,7 +285,7 @@ def _features() -> dict[str, Column]:
 def fit(found: DataFrame) -> VoteModel | None:
     """Model from the candidates of all documents; None where there are none.
 
-    Only counts of vote patterns reach the driver, at most 3 to the power of six.
+    Only counts of vote patterns reach the driver, at most 3 to the power of seven, in few buckets.
     """
     key = [*LABELERS, *BUCKETS]
     counts = pin(
