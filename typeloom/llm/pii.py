@@ -47,7 +47,9 @@ CANDIDATE = (
     rf"(?<![{WORDY}])(?=[A-Za-z_+/-]*+[0-9])[{WORDY}]{{8,}}+(?![{WORDY}])"
     r"|(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64}+ ?[(\[]at[)\]] ?[A-Za-z0-9-]{1,64}+"
     r"(?: ?[(\[]dot[)\]] ?[A-Za-z0-9-]{1,64}+){1,4}"
-    rf"|(?<=[\s:=#\"'])(?<=\b(?i:{FIELDS})\s{{0,2}}(?:(?i:no\.?|number|is)\s{{0,2}}[:=#]?|[:=#])\s{{0,2}}[\"']?)"
+    # from the cheapest test to the dearest
+    r"|(?<=[\s:=#\"'])(?=\S)(?<=[:=#\"']|[:=#]\s|[:=#]\s\s|[oOsSrR.]\s|[oOsSrR.]\s\s)"
+    rf"(?<=\b(?i:{FIELDS})\s{{0,2}}(?:(?i:no\.?|number|is)\s{{0,2}}[:=#]?|[:=#])\s{{0,2}}[\"']?)"
     rf"(?!(?i:no|number|is)\b){VALUE}"
     rf"|(?<![\p{{L}}\p{{N}}_])(?:[0-9]{{1,5}}[a-z]? )?+{GROUP}(?: [0-9]{{1,5}}+[a-z]?(?![\p{{L}}\p{{N}}_]))?+"
 )
