@@ -7,7 +7,7 @@ import types
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Texts are handed to numpy in slices of about so many characters.
@@ -64,3 +64,44 @@ def text_slices(
                 start, held, part = i + 1, 0, []
         if part:
             yield batch.slice(start, len(part)), part
+
+
+def ranked(df: DataFrame, group: list[str], order: list[str], folder: str) -> DataFrame:
+    """``df`` with ``rank`` (from 0) of each row in its group and ``size``, the rows of the group.
+
+    Group columns hold no null; nulls of ``order`` come first.  Rows are sorted by
+    range, so a group of any size lies in as many partitions as it needs: each numbers
+    its own rows, and one row a partition and group carries the numbers on.  The
+    sorted rows are written to ``folder``, so their places stay what they are when an
+    executor is lost.  Rows equal in all of these columns lie in one range: end ``order``
+    with a column that tells rows apart.
+    """
+    spark = df.sparkSession
+    keys = [*group, *order]
+    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    placed = placed.withColumn("place", F.monotonically_increasing_id())
+    placed.write.parquet(folder)
+    placed = spark.read.schema(placed.schema).parquet(folder).withColumn(
+        "part", F.shiftright("place", 33)
+    )
+    runs = placed.groupBy("part", *group).agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    whole = Window.partitionBy(*(group or [F.lit(0)]))
+    before = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("size", F.sum("n").over(whole)).withColumn(
+        "base", F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")
+    )
+    joined = placed.join(runs.drop("first", "n"), ["part", *group])
+    return joined.withColumn("rank", F.col("place") + F.col("base")).drop("part", "place", "base")
+
+
+def sql_crc32(text: str) -> str:
+    """DuckDB expression: unsigned crc32 of an ASCII text, bit by bit."""
+    text = f"({text})"
+    codes = f"list_transform(range(length({text})), lambda i: ord({text}[i + 1])::bigint)"
+    bits = (
+        "list_reduce(list_prepend(xor(crc, code), range(8)::bigint[]),"
+        " lambda x, k: xor(x >> 1, (x & 1) * 3988292384))"
+    )
+    return (
+        f"xor(4294967295, list_reduce(list_prepend(4294967295::bigint, {codes}), lambda crc, code: {bits}))"
+    )

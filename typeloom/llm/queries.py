@@ -13,6 +13,7 @@ from typeloom.llm.bagminhash import near_duplicates
 from typeloom.llm import toxicity as toxic
 from typeloom.llm.common import fold_of, table
 from typeloom.llm.decontamination import benchmark_matches, hit_words
+from typeloom.llm import merkle
 from typeloom.llm.lm_scoring import lm_scores
 from typeloom.llm.packing import pack
 from typeloom.functions.sizing import work_folder
@@ -123,3 +124,29 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8)
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = [docs[c] for c in ("doc_id", "source", "lang", "n_chars")]
+    stripped = F.replace(docs["text"], F.lit("\n"), F.lit(""))
+    leaves = docs.select(
+        docs["doc_id"],
+        docs["source"],
+        merkle.digest_of(*fields, docs["text"]).alias("leaf"),
+        F.when(fold_of(docs["doc_id"], 2) == 0, merkle.digest_of(*fields, stripped)).alias("changed"),
+    )
+    proven = merkle.manifest(leaves, "doc_id", "source", "leaf", "changed")
+    return proven.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(F.lower(F.hex("proof")), 256).alias("proof_sha256"),
+        "folded_root",
+        "verified",
+    )
+
+
+ORACLES["op11_merkle_manifest"] = merkle.ORACLE_SQL
