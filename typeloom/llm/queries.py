@@ -20,6 +20,7 @@ from typeloom.functions.sizing import work_folder
 from typeloom.llm import quality_rules as quality
 from typeloom.llm import warc
 from typeloom.llm.pii import personal_data
+from typeloom.llm import prefix_trie as trie
 from typeloom.llm import url_filters as urls
 from typeloom.llm.token_counts import token_counts
 
@@ -150,3 +151,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op11_merkle_manifest"] = merkle.ORACLE_SQL
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"), group=100, heads=6)
+
+
+ORACLES["op13_prefix_trie"] = trie.ORACLE_SQL
