@@ -13,6 +13,7 @@ from typeloom.llm.bagminhash import near_duplicates
 from typeloom.llm import toxicity as toxic
 from typeloom.llm.common import fold_of, table
 from typeloom.llm.decontamination import benchmark_matches, hit_words
+from typeloom.llm import language_id as lid
 from typeloom.llm import merkle
 from typeloom.llm.lm_scoring import lm_scores
 from typeloom.llm.packing import pack
@@ -153,6 +154,14 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op11_merkle_manifest"] = merkle.ORACLE_SQL
 
 
+@query
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = lid.fit(docs.filter(fold_of("doc_id", 4) != 2), public_tokenizers.path("piece_bpe_32k.model"))
+    held_out = (fold_of(docs["doc_id"], 4) == 2).alias("held_out")
+    return lid.languages(docs, model, ["doc_id", held_out])
+
+
 @query
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(table(spark, sf_dir, "conversations"), group=100, heads=6)
