@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -45,6 +45,9 @@ KEPT_WORDS = 300_000
 #: Words of up to so many places are taken in batches, longer ones one by one with scaling.
 SHORT = 40
 BATCH = 4096
+#: Size of the trie's hash table, a power of two, and its multiplier (2**64 by the golden ratio).
+SLOTS = 20
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Pieces:
@@ -68,11 +71,77 @@ class Pieces:
             self.number.setdefault(chr(BYTE + byte), len(self.number))
         self.size = len(self.number)
         self.longest = max(map(len, self.number))
+        self.ascii = all(c in self.number for c in "abcdefghijklmnopqrstuvwxyz")
+        self._make_trie()
+
+    def _make_trie(self) -> None:
+        """Steps (state, character) -> state in a hash table, and the piece that ends in each state."""
+        steps: dict[int, int] = {}
+        ends = [-1]
+        for piece, i in self.number.items():
+            state = 0
+            for c in piece:
+                key = state << 21 | ord(c)
+                if key not in steps:
+                    steps[key] = len(ends)
+                    ends.append(-1)
+                state = steps[key]
+            ends[state] = i
+        self.ends = np.array(ends, np.int32)
+        self.keys = np.full(1 << SLOTS, -1, np.int64)
+        self.nexts = np.zeros(1 << SLOTS, np.int32)
+        slots = self._slots(np.fromiter(steps, np.int64, len(steps)))
+        for slot, (key, state) in zip(slots.tolist(), steps.items(), strict=True):
+            while self.keys[slot] >= 0:
+                slot = (slot + 1) % (1 << SLOTS)
+            self.keys[slot], self.nexts[slot] = key, state
+
+    @staticmethod
+    def _slots(keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * SPREAD) >> np.uint64(64 - SLOTS)).astype(np.int64)
+
+    def _step(self, states: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The state after one more character, 0 where no piece goes on."""
+        keys = states.astype(np.int64) << 21 | codes
+        slots = self._slots(keys)
+        held = self.keys[slots]
+        out = np.where(held == keys, self.nexts[slots], 0)
+        going = np.flatnonzero((held != keys) & (held >= 0))
+        while len(going):  # another key has the slot: look at the next one
+            slots[going] = (slots[going] + 1) % (1 << SLOTS)
+            held = self.keys[slots[going]]
+            same = held == keys[going]
+            out[going[same]] = self.nexts[slots[going[same]]]
+            going = going[~same & (held >= 0)]
+        return out
+
+    def cells(self, texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(begin, end, words, pieces): where pieces lie in written words, by begin.
+
+        All words walk the trie together, from one begin after the other.
+        """
+        places = max(map(len, texts))
+        padded = "".join(t.ljust(places, "\0") for t in texts).encode("utf-32-le")
+        codes = np.ascontiguousarray(np.frombuffer(padded, np.uint32).reshape(-1, places).T)
+        sizes = np.array([len(t) for t in texts])
+        for begin in range(places):
+            rows = np.flatnonzero(sizes > begin)
+            states = np.zeros(len(rows), np.int32)
+            for end in range(begin + 1, places + 1):
+                states = self._step(states, codes[end - 1, rows])
+                alive = states > 0
+                rows, states = rows[alive], states[alive]
+                if not len(rows):
+                    break
+                pieces = self.ends[states]
+                whole = pieces >= 0
+                if whole.any():
+                    yield begin, end, rows[whole], pieces[whole]
 
     def written(self, word: str) -> str:
         """A word with its start and with characters that have no piece as bytes."""
         number = self.number
-        if all(c in number for c in word):
+        if self.ascii and word.isascii() or all(c in number for c in word):
             return START + word
         parts = (c if c in number else "".join(chr(BYTE + b) for b in c.encode()) for c in word)
         return START + "".join(parts)
@@ -87,30 +156,19 @@ class Pieces:
                 if piece is not None:
                     yield end, begin, piece
 
-    def lattice(self, words: list[str]) -> tuple[np.ndarray, dict[tuple[int, int], tuple]]:
-        """Places of each written word, and (end, begin) -> (words, pieces) of all words."""
-        cells: dict[tuple[int, int], list[int]] = defaultdict(list)
-        get, longest = self.number.get, self.longest
-        for i, text in enumerate(words):
-            for end in range(1, len(text) + 1):
-                for begin in range(max(0, end - longest), end):
-                    piece = get(text[begin:end])
-                    if piece is not None:
-                        cells[end, begin].extend((i, piece))
-        arrays = {}
-        for place, flat in cells.items():
-            pairs = np.array(flat, np.int64)
-            arrays[place] = pairs[::2], pairs[1::2]
-        return np.array([len(w) for w in words]), arrays
-
-
-def forward(sizes: np.ndarray, cells: dict, p: np.ndarray) -> np.ndarray:
-    """Sums over all segmentations up to each place: (places + 1, words, languages)."""
-    alpha = np.zeros((sizes.max() + 1, len(sizes), p.shape[1]))
+
+def forward(pieces: Pieces, texts: list[str], p: np.ndarray, cells: list | None = None) -> np.ndarray:
+    """Sums over all segmentations up to each place: (places + 1, words, languages).
+
+    What was looked up is added to ``cells``, if given.
+    """
+    alpha = np.zeros((max(map(len, texts)) + 1, len(texts), p.shape[1]))
     alpha[0] = 1
-    for end, begin in sorted(cells):
-        rows, pieces = cells[end, begin]
-        alpha[end, rows] += alpha[begin, rows] * p[pieces]
+    for cell in pieces.cells(texts):
+        begin, end, rows, found = cell
+        alpha[end, rows] += alpha[begin, rows] * p[found]
+        if cells is not None:
+            cells.append(cell)
     return alpha
 
 
@@ -140,8 +198,8 @@ def word_logs(pieces: Pieces, words: list[str], p: np.ndarray) -> np.ndarray:
     cut = next((k for k, i in enumerate(order) if len(texts[i]) > SHORT), len(order))
     for at in range(0, cut, BATCH):
         some = order[at : min(at + BATCH, cut)]
-        sizes, cells = pieces.lattice([texts[i] for i in some])
-        alpha = forward(sizes, cells, p)
+        sizes = [len(texts[i]) for i in some]
+        alpha = forward(pieces, [texts[i] for i in some], p)
         out[some] = np.log(alpha[sizes, np.arange(len(some))])
     for i in order[cut:]:
         out[i] = _scaled_forward(pieces, texts[i], p)[-1]
@@ -156,14 +214,13 @@ def expected_counts(pieces: Pieces, words: list[str], counts: np.ndarray, p: np.
     cut = next((k for k, i in enumerate(order) if len(texts[i]) > SHORT), len(order))
     for at in range(0, cut, BATCH):
         some = order[at : min(at + BATCH, cut)]
-        sizes, cells = pieces.lattice([texts[i] for i in some])
-        alpha = forward(sizes, cells, p)
+        sizes, cells = [len(texts[i]) for i in some], []
+        alpha = forward(pieces, [texts[i] for i in some], p, cells)
         whole = alpha[sizes, np.arange(len(some))]
         beta = np.zeros_like(alpha)
         beta[sizes, np.arange(len(some))] = counts[some] / whole
         found_all, shares = [], []
-        for end, begin in sorted(cells, reverse=True):
-            rows, found = cells[end, begin]
+        for begin, end, rows, found in reversed(cells):
             passed = beta[end, rows] * p[found]
             beta[begin, rows] += passed
             found_all.append(found)
@@ -238,11 +295,9 @@ def word_counts(docs: DataFrame, lang_column: str = "lang", text_column: str = "
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_slices(batches):
-            found: dict[str, dict[str, int]] = {}
+            found: dict[str, Counter] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), texts, strict=True):
-                own = found.setdefault(lang, {})
-                for word in words_of(text):
-                    own[word] = own.get(word, 0) + 1
+                found.setdefault(lang, Counter()).update(words_of(text))
             for lang, own in found.items():
                 own = {word: n for word, n in own.items() if has_letter(word)}
                 yield pa.RecordBatch.from_arrays(
