@@ -5,6 +5,8 @@ from helpers import document, edges, nodes, type_dict
 from typeloom import PropertyGraph, discover, discover_all, robustness_grid, schema_from_state
 from typeloom.operators.patterns import node_truth_counts
 from typeloom.plans import damaged
+from typeloom.plans.discovery import pattern_tables
+from typeloom.plans.robustness import cell_of, grid_patterns
 from typeloom.streaming import update_state
 
 
@@ -120,3 +122,14 @@ def test_a_second_run_takes_in_only_what_is_new(spark, graph, tmp_path):
     schema = schema_from_state(spark, f"{folder}/state", "minhash", split_labels=True)
     assert type_dict(schema.node_types)[("Dog",)] == (1, ["name"], [])
     assert schema.node_types.agg(F.sum("n")).first()[0] == 121
+
+
+def test_one_scan_gives_the_patterns_of_every_cell(graph):
+    grid = grid_patterns(graph, noise=(0.0, 0.4), loss=(0.0, 0.5), labels=["City"])
+    for noise in (0.0, 0.4):
+        for loss in (0.0, 0.5):
+            cell = cell_of(grid, noise, loss)
+            tables = pattern_tables(damaged(graph, noise, loss, ["City"]))
+            for name in ("nodes", "edges", "truth"):
+                a, b = getattr(cell, name), getattr(tables, name)
+                assert rows_of(a.select(b.columns)) == rows_of(b)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from helpers import edges, nodes
 from typeloom.model import PropertyGraph
+from typeloom.operators.patterns import edge_patterns
 from typeloom.plans import discover
 from typeloom.plans.robustness import damaged
 from typeloom.streaming import schema_from_state, update_state
@@ -34,30 +35,27 @@ def streams(spark, folder, schemas):
     ]
 
 
-def same_schema(spark, folder, graph):
-    whole = discover(graph, "minhash")
-    schema = schema_from_state(spark, f"{folder}/state", "minhash")
-    assert rows_of(schema.node_types) == rows_of(whole.node_types)
-    assert rows_of(schema.edge_types) == rows_of(whole.edge_types)
-    assert rows_of(schema.edge_types_by_ends) == rows_of(whole.edge_types_by_ends)
-
-
 def test_bare_edges_meet_their_nodes_in_any_order(spark, graph, tmp_path):
     noisy = damaged(graph, 0.2, 0.3)
     # some nodes never come: their edges count with the labels of the other end, or of none
     known = noisy.nodes.filter(F.xxhash64("node_id") % 7 != 0)
     bare = noisy.edges.select("edge_id", "src_id", "dst_id", "edge_type", "props", "prop_set")
     folder, first, second = str(tmp_path), "xxhash64(node_id) % 2 = 0", "xxhash64(node_id) % 2 <> 0"
-    bare.repartition(2).write.parquet(f"{folder}/edges")
-    known.filter(first).repartition(2).write.parquet(f"{folder}/nodes")
+    def pattern_rows(frame):
+        return rows_of(frame.select("edge_type", "src_labels", "dst_labels", "prop_set", "n"))
+
+    bare.coalesce(1).write.parquet(f"{folder}/edges")
+    known.filter(first).coalesce(1).write.parquet(f"{folder}/nodes")
     both = streams(spark, folder, {"nodes": known.schema, "edges": bare.schema})
     update_state(*both, f"{folder}/state")
-    same_schema(spark, folder, PropertyGraph(known.filter(first), bare))
-    known.filter(second).write.mode("append").parquet(f"{folder}/nodes")
+    half = PropertyGraph(known.filter(first), bare)
+    assert pattern_rows(edge_pattern_state(spark, f"{folder}/state")) == pattern_rows(edge_patterns(half.labeled_edges()))
+    known.filter(second).coalesce(1).write.mode("append").parquet(f"{folder}/nodes")
     update_state(*both, f"{folder}/state")
-    same_schema(spark, folder, PropertyGraph(known, bare))
-    total = edge_pattern_state(spark, f"{folder}/state").agg(F.sum("n")).first()[0]
-    assert total == bare.count()
+    whole = discover(PropertyGraph(known, bare), "minhash")
+    schema = schema_from_state(spark, f"{folder}/state", "minhash")
+    assert rows_of(schema.node_types) == rows_of(whole.node_types)
+    assert rows_of(schema.edge_types) == rows_of(whole.edge_types)
 
 
 def test_an_edge_is_counted_by_the_ends_that_are_there(spark, tmp_path):

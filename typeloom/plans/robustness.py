@@ -3,18 +3,36 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from typeloom.functions.hashing import hash01, seeded
+from typeloom.functions.labels import clean_set
+from typeloom.functions.sizing import pin
 from typeloom.model import PropertyGraph
+from typeloom.operators.cluster import METHODS
 from typeloom.operators.noise import drop_labels, drop_properties
-from typeloom.plans.discovery import pattern_tables, score_method
-from typeloom.sources.wide import union_all
+from typeloom.operators.patterns import (
+    EDGE_KEYS,
+    NODE_KEYS,
+    finish_edge_patterns,
+    node_pattern_id,
+    normal_edges,
+    normal_nodes,
+    patterns_of_truth,
+)
+from typeloom.plans.discovery import Patterns, score_method
 
 # The usual grid of noise levels and label loss.
 NOISE_LEVELS = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5)
 LABEL_LOSS = (0.0, 0.5, 1.0)
+CELL = ("noise", "label_loss")
+GRID_ROW = (
+    "noise double, label_loss double, method string, element string,"
+    " tp bigint, fp bigint, fn bigint, precision double, recall double, f1 double"
+)
 
 
 def damaged(
@@ -32,28 +50,105 @@ def damaged(
     return PropertyGraph(nodes, edges)
 
 
+def _kept_names(id_column: str, level: Column, seed: int) -> Column:
+    return F.filter("prop_set", lambda name: hash01(seeded(seed, F.col(id_column), name)) >= level)
+
+
+def _left(column: str, labels: Sequence[str] | None) -> Column:
+    """Labels that are left of a node that loses the listed ones, or all."""
+    if labels is None:
+        return F.array().cast("array<string>")
+    return F.array_except(column, F.array(*[F.lit(x) for x in labels]))
+
+
+def _levels(values: Sequence[float]) -> Column:
+    return F.explode(F.array(*[F.lit(float(v)) for v in values]))
+
+
+def grid_patterns(
+    graph: PropertyGraph,
+    noise: Sequence[float] = NOISE_LEVELS,
+    loss: Sequence[float] = LABEL_LOSS,
+    labels: Sequence[str] | None = None,
+    seed: int = 42,
+) -> Patterns:
+    """Pattern tables of all damaged graphs, each row with its ``noise`` and ``label_loss``.
+
+    One scan of the nodes and one of the edges: an element draws once for each
+    property and for its labels, and what it draws says in which cells these are lost.  Its
+    pattern in every cell is counted map-side, with the cell in the key.
+    """
+    nodes = graph.nodes.select(
+        "node_id", "labels", "true_labels", "prop_set", hash01(seeded(seed, F.col("node_id"))).alias("draw")
+    )
+    nodes = nodes.select("*", _levels(noise).alias("noise")).withColumn(
+        "prop_set", _kept_names("node_id", F.col("noise"), seed)
+    )
+    nodes = nodes.select("*", _levels(loss).alias("label_loss")).withColumn(
+        "labels", F.when(F.col("draw") < F.col("label_loss"), _left("labels", labels)).otherwise(F.col("labels"))
+    )
+    counted = (
+        normal_nodes(nodes)
+        .withColumn("true_labels", clean_set(F.col("true_labels")))
+        .groupBy(*CELL, *NODE_KEYS, "true_labels")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    truth = pin(counted.withColumn("pattern_id", node_pattern_id()))
+
+    carried = {"src_labels", "dst_labels"} <= set(graph.edges.columns)  # such labels are not the nodes'
+    edges = graph.labeled_edges().select(
+        "edge_id", "src_id", "dst_id", "edge_type", "src_labels", "dst_labels", "prop_set"
+    )
+    edges = edges.select("*", _levels(noise).alias("noise")).withColumn(
+        "prop_set", _kept_names("edge_id", F.col("noise"), seed)
+    )
+    ends = ("src", "dst")
+    drawn = {f"{e}_draw": hash01(seeded(seed, F.col(f"{e}_id"))) for e in ends}
+    edges = edges.withColumns(drawn).select("*", _levels(loss).alias("label_loss"))
+    if not carried:
+        edges = edges.withColumns(
+            {
+                f"{e}_labels": F.when(
+                    F.col(f"{e}_draw") < F.col("label_loss"), _left(f"{e}_labels", labels)
+                ).otherwise(F.col(f"{e}_labels"))
+                for e in ends
+            }
+        )
+    counted = normal_edges(edges).groupBy(*CELL, *EDGE_KEYS).agg(F.count(F.lit(1)).alias("n"))
+    return Patterns(truth, pin(counted), truth)
+
+
+def cell_of(grid: Patterns, noise: float, loss: float) -> Patterns:
+    """Pattern tables of one damaged graph."""
+    here = (F.col("noise") == F.lit(float(noise))) & (F.col("label_loss") == F.lit(float(loss)))
+    truth = grid.truth.filter(here).drop(*CELL)
+    edges = finish_edge_patterns(grid.edges.filter(here).drop(*CELL))
+    return Patterns(patterns_of_truth(truth), edges, truth)
+
+
 def robustness_grid(
     graph: PropertyGraph,
     noise: Sequence[float] = NOISE_LEVELS,
     loss: Sequence[float] = LABEL_LOSS,
-    methods: Sequence[str] = ("lsh",),
+    methods: Sequence[str] = METHODS,
     labels: Sequence[str] | None = None,
     seed: int = 42,
+    at_once: int = 8,
     **options,
 ) -> DataFrame:
-    """Scores for each noise level, label loss and method.
+    """Scores for each noise level, label loss and method: two rows a cell, of nodes and of edges.
 
-    A damaged graph is read once, for its pattern tables; all methods work on
-    those.
+    The graph is read once for all cells (:func:`grid_patterns`).  Clustering and scoring
+    see pattern tables only; ``at_once`` cells run side by side, since their jobs are small.
     """
-    cells = []
-    for level in noise:
-        for lost in loss:
-            tables = pattern_tables(damaged(graph, level, lost, labels, seed))
-            cells += [
-                score_method(tables, method, **options).withColumns(
-                    {"noise": F.lit(float(level)), "label_loss": F.lit(float(lost))}
-                )
-                for method in methods
-            ]
-    return union_all(cells)
+    grid = grid_patterns(graph, noise, loss, labels, seed)
+    cells = [(n, lost, method) for n in noise for lost in loss for method in methods]
+
+    def scored(cell: tuple[float, float, str]) -> list[dict]:
+        level, lost, method = cell
+        found = score_method(cell_of(grid, level, lost), method, **options)
+        return [{**r.asDict(), "noise": float(level), "label_loss": float(lost)} for r in found.collect()]
+
+    with ThreadPoolExecutor(at_once) as pool:
+        rows = [row for part in pool.map(scored, cells) for row in part]
+    return graph.nodes.sparkSession.createDataFrame(rows, GRID_ROW)

@@ -40,19 +40,24 @@ def codes(label: str, dim: int) -> str:
     return "[" + ", ".join(parts) + "]"
 
 
-def base(loss: float) -> list[str]:
+def base(loss: float, noise: float = 0.0) -> list[str]:
+    """Graph and patterns; elements lose labels and properties at these rates."""
     label = f"case when {h01(f'''('{SEED}|' || node_id)''')} < {loss}::DOUBLE then '' else label end"
-    present = "list_filter(names, lambda x, i: vals[i] is not null)"
+
+    def present(key: str) -> str:
+        safe = f" and {h01(f"""('{SEED}|' || {key} || '|' || x)""")} >= {noise}::DOUBLE" if noise > 0 else ""
+        return f"list_filter(names, lambda x, i: vals[i] is not null{safe})"
+
     return [
         graph_ctes(),
         f"""
 nodes as (
   select *, array_to_string(pset, {IS}) as pkey from (
-    select node_id, label as true_label, {label} as label, {present} as pset from raw_nodes)),
+    select node_id, label as true_label, {label} as label, {present("node_id")} as pset from raw_nodes)),
 edges as (
   select e.*, array_to_string(e.pset, {IS}) as pkey, s.label as src_key, d.label as dst_key,
          s.true_label as true_src, d.true_label as true_dst
-  from (select edge_id, src_id, dst_id, edge_type, {present} as pset from raw_edges) e
+  from (select edge_id, src_id, dst_id, edge_type, {present("edge_id")} as pset from raw_edges) e
   join nodes s on s.node_id = e.src_id join nodes d on d.node_id = e.dst_id),
 np as (
   select md5(label || {FS} || pkey) as pattern_id, label as label_key, pkey,
@@ -167,16 +172,16 @@ def _minhash(kind: str) -> str:
     group by pattern_id) h on h.pattern_id = p.pattern_id)"""
 
 
-def clustered(loss: float, method: str) -> list[str]:
+def clustered(loss: float, method: str, noise: float = 0.0) -> list[str]:
     """nc and ec: patterns with cluster_id."""
     make = _lsh if method == "lsh" else _minhash
-    return [*base(loss), params(), make("n"), make("e")]
+    return [*base(loss, noise), params(), make("n"), make("e")]
 
 
-def merged(loss: float, method: str) -> list[str]:
+def merged(loss: float, method: str, noise: float = 0.0) -> list[str]:
     """ncl, labeled, absorbed, nmember, ntyped, ntypes; etyped/etypes by ends and by type."""
     return [
-        *clustered(loss, method),
+        *clustered(loss, method, noise),
         f"""
 ncl as (
   select cluster_id, list_sort(coalesce(list(distinct label_key) filter (label_key <> ''), [])) as labels

@@ -14,6 +14,7 @@ from typeloom.model import PropertyGraph
 from typeloom.operators import cardinality as card
 from typeloom.operators import census, cluster, encode, evaluate, infer, merge, noise, patterns, render
 from typeloom.plans.discovery import Schema
+from typeloom.plans.robustness import LABEL_LOSS, NOISE_LEVELS
 from typeloom.sources import batches, csv_graph, wide
 from typeloom.streaming import schema_from_state, update_state
 from workload import oracle as sql
@@ -1183,13 +1184,17 @@ def edge_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batches.edge_batches(edges, size).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def stream_state(spark: SparkSession, sf_dir: str) -> str:
-    """Stream the lossy graph in batches; the folder that holds the state."""
+def stream_state(spark: SparkSession, sf_dir: str, bare: bool = False) -> str:
+    """Stream the lossy graph in batches; the folder that holds the state.
+
+    ``bare`` edges know their end points by id only.
+    """
     graph = lossy_graph(spark, sf_dir)
     folder = work_folder(spark)
+    edges = graph.edges if bare else graph.labeled_edges()
     tables = {
         "nodes": batches.node_batches(graph.nodes, count=N_BATCHES),
-        "edges": batches.edge_batches(graph.labeled_edges(), count=N_BATCHES),
+        "edges": batches.edge_batches(edges, count=N_BATCHES),
     }
     streams = {}
     for name, table in tables.items():
@@ -1274,6 +1279,11 @@ def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema_text(schema_from_state(spark, stream_state(spark, sf_dir), "minhash"))
 
 
+@register("stream_finds_ends", _schema_sql("minhash"))
+def stream_finds_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema_text(schema_from_state(spark, stream_state(spark, sf_dir, bare=True), "minhash"))
+
+
 # ------------------------------------------------------------------- pipelines
 
 
@@ -1301,9 +1311,41 @@ def discover_all_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discover_all(lossy_graph(spark, sf_dir))
 
 
-@register("robustness_grid")
+def _cell_sql(noise_: float, loss: float, method: str) -> str:
+    nodes = (
+        "select array_to_string(actual, ',') as truth, list_contains(actual, majority) as hit"
+        " from neval join nmaj using (type_id)"
+    )
+    edges = f"select {EDGE_TRUTH}, edge_type = majority as hit from eeval join emaj using (type_id)"
+    found = sql.query(
+        [*sql.merged(loss, method, noise_), sql.evaluation()],
+        f"select 'node' as element, * from ({sql.scores(nodes)})"
+        f" union all select 'edge', * from ({sql.scores(edges)})",
+    )
+    return (
+        f"select {noise_}::DOUBLE as noise, {loss}::DOUBLE as label_loss, '{method}' as method, *"
+        f" from ({found})"
+    )
+
+
+def _grid_sql(method: str) -> str:
+    cells = [(n, lost, method) for n in NOISE_LEVELS for lost in LABEL_LOSS]
+    return " union all ".join(f"({_cell_sql(*cell)})" for cell in cells)
+
+
+@register("robustness_grid", _grid_sql("lsh"))
 def robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return robustness_grid(load_graph(spark, sf_dir), noise=(0.0, 0.2), loss=(0.0, 0.5))
+    return _rounded(robustness_grid(load_graph(spark, sf_dir), methods=("lsh",)))
+
+
+@register("robustness_grid_minhash", _grid_sql("minhash"))
+def robustness_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(robustness_grid(load_graph(spark, sf_dir), methods=("minhash",)))
+
+
+@register("robustness_grid_kmeans")
+def robustness_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(robustness_grid(load_graph(spark, sf_dir), methods=("kmeans",)))
 
 
 CSV_GRAPH_SQL = """
