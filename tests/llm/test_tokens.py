@@ -97,3 +97,23 @@ def test_pieces_make_up_the_documents(spark, window):
 
 def test_nothing_to_pack(spark):
     assert pack(odd_docs(spark, []), WORDS, 1, 8).count() == 0
+
+
+@pytest.mark.parametrize("text", ["=-" * 60_000, "the" * 30_000 + "xqzj" * 10_000, " " * 50_000 + "x", "中文字" * 5_000])
+def test_long_pieces_count_as_the_library(text):
+    classes = np.frombuffer(class_table(BYTES), np.uint8)
+    want = len(Tokenizer.from_file(BYTES).encode(text, add_special_tokens=False).ids)
+    assert count_tokens([text], BYTES, classes).tolist() == [want]
+
+
+def test_a_full_cache_changes_no_id(monkeypatch):
+    from typeloom.llm import packing
+
+    texts, tokenizer = [*odd_texts(60, 4), "a b c a b", "d e f a"], Tokenizer.from_file(WORDS)
+    want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(packing, "KEPT_WORDS", 3)
+    monkeypatch.setattr(packing, "TOGETHER", 4)
+    encoder = WordEncoder(WORDS)
+    for _ in range(2):
+        assert [ids.tolist() for ids in encoder.encode(texts)] == want
+    assert len(encoder.kept) == 3

@@ -12,9 +12,10 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import accumulate
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +28,9 @@ from typeloom.functions.sizing import work_folder
 from typeloom.llm.common import text_or_empty, text_slices, worker_cache
 
 #: Words whose ids a worker keeps.
-KEPT_WORDS = 300_000
-#: Every tokenizer of the word kind drops this white space, so words can be encoded alone.
-WORD = re.compile(r"[^ \t\n\r]+")
+KEPT_WORDS = 600_000
+#: Words that are encoded as one text.
+TOGETHER = 20_000
 #: Without these, lower-casing the text first changes no id.
 NOT_PLAIN = re.compile("<[|]|[İɐ-\U0010ffff]")
 
@@ -37,33 +38,82 @@ NOT_PLAIN = re.compile("<[|]|[İɐ-\U0010ffff]")
 class WordEncoder:
     """Ids of texts under a tokenizer that drops white space and lower-cases.
 
-    Words between white space are encoded once each and kept.
+    Words between white space are encoded once each and kept, until ``KEPT_WORDS`` are there; others
+    are encoded in each call anew.  Many words are encoded as one text, which is cut at the
+    bytes of their tokens.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.kept: dict[str, bytes] = {}
+        # Bytes of a token: one for each letter of its name, which may end in a mark of the word's end.
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None) or ""
+        vocabulary = self.tokenizer.get_vocab()
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.sizes[i] = len(token.removesuffix(suffix))
+
+    def _alone(self, words: list[str]) -> Iterator[bytes]:
+        for start in range(0, len(words), 10_000):
+            part = words[start : start + 10_000]
+            for found in self.tokenizer.encode_batch_fast(part, add_special_tokens=False):
+                yield np.array(found.ids, "<u4").tobytes()
+
+    def _together(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of words that the tokenizer's normal form leaves as they are."""
+        for start in range(0, len(words), TOGETHER):
+            part = words[start : start + TOGETHER]
+            found = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0]
+            ids = np.array(found.ids, "<u4")
+            ends = np.cumsum([len(w) if w.isascii() else len(w.encode()) for w in part])
+            reached = np.cumsum(self.sizes[ids])
+            cuts = np.searchsorted(reached, ends)
+            if cuts[-1] != len(ids) - 1 or not np.array_equal(reached[np.minimum(cuts, len(ids) - 1)], ends):
+                yield from self._alone(part)
+                continue
+            data, at = ids.tobytes(), 0
+            for cut in ((cuts + 1) * 4).tolist():
+                yield data[at:cut]
+                at = cut
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """uint32 ids of each text."""
-        words = [
-            WORD.findall(text if NOT_PLAIN.search(text) else text.lower()) for text in texts
-        ]
-        if len(self.kept) > KEPT_WORDS:
-            self.kept.clear()
+        words = [words_of(text) for text in texts]
         kept = self.kept
-        new = list({w for row in words for w in row if w not in kept})
-        for start in range(0, len(new), 10_000):
-            part = new[start : start + 10_000]
-            for word, found in zip(
-                part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True
-            ):
-                kept[word] = np.array(found.ids, "<u4").tobytes()
-        get = kept.__getitem__
+        plain, odd = [], []
+        for word in set().union(*words).difference(kept):
+            (plain if is_plain(word) else odd).append(word)
+        fresh = dict(zip(odd, self._alone(odd), strict=True))
+        fresh.update(zip(plain, self._together(plain), strict=True))
+        room = max(0, KEPT_WORDS - len(kept))
+        if len(fresh) <= room:
+            kept.update(fresh)
+            get = kept.__getitem__
+        else:  # the commonest words are there already, or come now
+            kept.update(islice(fresh.items(), room))
+            get = (kept | fresh).__getitem__ if fresh else kept.__getitem__
         return [np.frombuffer(b"".join(map(get, row)), "<u4") for row in words]
 
 
+def words_of(text: str) -> list[str]:
+    """What stands between white space of the kind that every tokenizer here drops, in lower case."""
+    if not (NOT_PLAIN.search(text) if not text.isascii() else "<|" in text):
+        text = text.lower()
+    for blank in "\t\n\r":
+        text = text.replace(blank, " ")
+    return [w for w in text.split(" ") if w]
+
+
+def is_plain(word: str) -> bool:
+    """Whether lower-casing and composing characters leave a word as it is, and no special token is in it."""
+    if "<|" in word:
+        return False
+    if word.isascii():
+        return word.isprintable() and word == word.lower()
+    return word.isalnum() and word == word.lower() and unicodedata.is_normalized("NFC", word)
+
+
 def tokenized(
     docs: DataFrame, path: str, end_id: int, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
