@@ -19,7 +19,8 @@ added special tokens; a special token's string inside a text is that one token.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Iterator
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -36,6 +37,8 @@ CHUNK = 1024
 #: Pieces whose counts a worker keeps, and states of its piece transducer.
 KEPT_PIECES = 1_000_000
 KEPT_STATES = 500_000
+#: Bytes up to which the states of all prefixes of a piece are kept, and found by recursion.
+LONG_PIECE = 64
 
 # character classes of the splitter
 OTHER, LETTER, STEM, R, V, L_, E, NUMBER, SPACE, WHITE, QUOTE, END = range(12)
@@ -163,6 +166,13 @@ def piece_starts(classes: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
     return np.flatnonzero(begins)
 
 
+class _Sizes(dict):
+    """Of two bytes that end no token, only the last one is a token."""
+
+    def __missing__(self, tail: bytes) -> list[int]:
+        return [1]
+
+
 class PieceTransducer:
     """Deterministic transducer over the bytes of a piece; states are prefixes.
 
@@ -179,6 +189,11 @@ class PieceTransducer:
         special = {t["content"] for t in spec["added_tokens"]}
         self.vocab = {raw(t) for t in model["vocab"] if t not in special}
         self.longest = max(map(len, self.vocab))
+        # sizes of the tokens with the same last bytes, the longest first; any token may be of one byte
+        sizes: dict[bytes, set[int]] = {}
+        for token in self.vocab:
+            sizes.setdefault(token[-2:], set()).add(len(token))
+        self.sizes_of = _Sizes({tail: sorted(found | {1}, reverse=True) for tail, found in sizes.items()})
         self.rank: dict[tuple[bytes, bytes], int] = {}
         self.parts: dict[bytes, tuple[bytes, bytes]] = {}
         for i, merge in enumerate(model["merges"]):
@@ -222,41 +237,49 @@ class PieceTransducer:
         return self.apart[pair]
 
     def _state(self, prefix: bytes) -> tuple[int, bytes]:
-        """(tokens of the prefix, its last token)."""
+        """(tokens of a short prefix, its last token)."""
         found = self.states.get(prefix)
-        if found is not None:
-            return found
-        n = len(prefix)
-        for size in range(min(n, self.longest), 0, -1):
-            token = prefix[n - size :]
+        if found is None:
+            found = self._next(prefix, len(prefix), lambda at: self._state(prefix[:at]))
+            self.states[prefix] = found
+        return found
+
+    def _next(
+        self, data: bytes, end: int, state: Callable[[int], tuple[int, bytes]]
+    ) -> tuple[int, bytes]:
+        """The state after ``end`` bytes, from the states before."""
+        for size in self.sizes_of[data[max(0, end - 2) : end]]:
+            if size > end:
+                continue
+            token = data[end - size : end]
             if token not in self.vocab:
                 continue
-            if size == n:
+            if size == end:
                 if size == 1 or self._encode(token) == [token]:
-                    found = 1, token
-                    break
+                    return 1, token
                 continue
-            count, before = self._state(prefix[: n - size])
+            count, before = state(end - size)
             if self._stay_apart(before, token):
-                found = count + 1, token
-                break
-        else:
-            raise ValueError("the vocabulary does not hold every byte")
-        self.states[prefix] = found
-        return found
+                return count + 1, token
+        raise ValueError("the vocabulary does not hold every byte")
+
+    def _walk(self, data: bytes) -> int:
+        """Tokens of a long piece; what is held are the states of its last places alone."""
+        states: deque[tuple[int, bytes]] = deque([(0, b"")], maxlen=self.longest)
+        for end in range(1, len(data) + 1):
+            states.append(self._next(data, end, lambda at, end=end: states[at - end]))
+        return states[-1][0]
 
     def count(self, piece: str) -> int:
         """Tokens of a piece: the sum of the changes along its bytes."""
         found = self.kept.get(piece)
         if found is None:
+            data = piece.encode()
+            if len(data) > LONG_PIECE:
+                return self._walk(data)
             if len(self.states) > KEPT_STATES:
                 self.states.clear()
                 self.states[b""] = 0, b""
-            data = piece.encode()
-            # prefixes in order, so that a long piece needs no deep recursion
-            for end in range(self.longest, len(data), self.longest):
-                for i in range(end - self.longest + 1, end + 1):
-                    self._state(data[:i])
             found = self._state(data)[0]
             if len(self.kept) > KEPT_PIECES:
                 self.kept.clear()
