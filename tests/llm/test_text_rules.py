@@ -196,3 +196,20 @@ def test_names_streets_and_values_behind_fields_are_candidates(spark):
         span, labeler, vote = texts[row["text"]]
         found = {row["text"][c["start"] : c["end"]]: c for c in row["c"]}
         assert found[span][labeler] == vote, row["text"]
+
+
+def test_shouting_takes_time_in_proportion(spark):
+    import time
+
+    from typeloom.llm.quality_rules import line_fails, SHOUTED
+
+    draw = random.Random(8)
+    lines = ["".join(draw.choice("aB-1 ÉßΣ\r") for _ in range(draw.randint(0, 7))) for _ in range(400)]
+    got = spark.createDataFrame([(x,) for x in lines], "x string").select("x", F.col("x").rlike(SHOUTED).alias("y")).collect()
+    for row in got:
+        want = sum(c.isupper() for c in row.x) >= 2 and not any(c.islower() for c in row.x)
+        assert row.y == want, repr(row.x)
+    long = [("A" * 200_000 + "b",), ("AB " * 70_000 + "c",), ("- " * 100_000,), ("A" * 200_000,)]
+    start = time.time()
+    verdicts = spark.createDataFrame(long, "x string").select(line_fails(F.col("x"))).collect()
+    assert time.time() - start < 30 and verdicts[-1][0]

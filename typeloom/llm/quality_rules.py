@@ -23,7 +23,8 @@ BOILERPLATE = (
 #: Menus and breadcrumbs: three separators with words between them.
 NAVIGATION = r"([|»›•·][^|»›•·]+){3}"
 #: No lower-case letter in a line with capitals, or exclamations after one another.
-SHOUTED = r"^[^\p{Ll}]*\p{Lu}[^\p{Ll}]*\p{Lu}[^\p{Ll}]*$"
+#: Nothing is tried twice, so this takes time in proportion to a line.
+SHOUTED = r"^[^\p{Ll}\p{Lu}]*+\p{Lu}[^\p{Ll}\p{Lu}]*+\p{Lu}[^\p{Ll}]*+$"
 #: A fragment: up to three words without a sign that ends a sentence.
 FRAGMENT = r"^[^\s]+(\s+[^\s]+){0,2}$"
 SENTENCE_END = r"[.!?:;…。！？\"'”’»)\]]\s*$"
