@@ -154,3 +154,37 @@ def test_summary(spark):
     assert rows["c2"]["props"] == []
     assert cluster_property_sets(c).count() == 3
     assert cluster_property_sets(c).agg(F.sum("n")).first()[0] == 6
+
+
+def test_integer_kmeans_is_lloyd(spark):
+    """The same rounds in plain Python, on dense vectors."""
+    import hashlib
+
+    from typeloom.operators.lloyd import integer_kmeans, sparse_rows
+
+    rows = [("A" * (i % 3), [c for j, c in enumerate("pqrstu") if i >> j & 1], 1 + i * i % 7) for i in range(40)]
+    p = patterns(spark, rows)
+    vectors, weights = {}, {}
+    for r in sparse_rows(p).collect():
+        vectors.setdefault(r.pattern_id, {})[r.dim] = r.x
+        weights[r.pattern_id] = r.n
+    order = sorted(vectors, key=lambda i: (hashlib.md5(f"1|{i}".encode()).hexdigest(), i))
+    centres = {c: vectors[i] for c, i in enumerate(order[:4])}
+
+    def nearest():
+        def far(v, c):
+            return sum((v.get(d, 0) - c.get(d, 0)) ** 2 for d in v.keys() | c.keys())
+
+        return {i: min(centres, key=lambda c: (far(v, centres[c]), c)) for i, v in vectors.items()}
+
+    for _ in range(6):
+        at = nearest()
+        centres = {}
+        for c in sorted(set(at.values())):
+            own = [i for i in at if at[i] == c]
+            dims = {d for i in own for d in vectors[i]}
+            size = sum(weights[i] for i in own)
+            centres[c] = {d: sum(weights[i] * vectors[i].get(d, 0) for i in own) // size for d in dims}
+    got = {r.pattern_id: r.cluster_id for r in integer_kmeans(p, k=4).collect()}
+    assert got == {i: f"cluster_{c}" for i, c in nearest().items()}
+    assert len(set(got.values())) > 2

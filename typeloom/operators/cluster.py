@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from typeloom.functions.hashing import code32, code32_of, hash01, seeded
 from typeloom.operators.encode import SCALE, assemble, embedding_of, pattern_codes
+from typeloom.operators.lloyd import integer_kmeans
 from typeloom.operators.patterns import distinct_label_sets, is_edge_frame
 
 SAMPLE_SIZE = 10_000
@@ -316,9 +317,15 @@ def cluster_minhash(
 
 
 def cluster_kmeans(
-    patterns: DataFrame, k: int = 10, seed: int = 1, embedding: str = "hash"
+    patterns: DataFrame, k: int = 10, seed: int = 1, embedding: str = "hash", impl: str = "integer"
 ) -> DataFrame:
-    """k-means clusters of the patterns, weighted by their counts."""
+    """k-means clusters of the patterns, weighted by their counts.
+
+    By default in integer arithmetic over sparse rows; ``impl="ml"`` fits Spark's own
+    model to dense vectors, for which the names go through the driver.
+    """
+    if impl == "integer":
+        return integer_kmeans(patterns, k, seed)
     features = assemble(patterns, embedding, 42)
     # the block solver fails on fewer than k distinct vectors, the row solver does not
     model = KMeans(

@@ -172,14 +172,60 @@ def _minhash(kind: str) -> str:
     group by pattern_id) h on h.pattern_id = p.pattern_id)"""
 
 
+def _kmeans(kind: str, k: int = 10, rounds: int = 6) -> str:
+    p, dims = f"{kind}p", 5 if kind == "n" else 18
+    ctes = [
+        f"""
+{kind}kr as (
+  select pattern_id, n, 'E|' || i::varchar as dim, codes[i + 1]::BIGINT as x
+  from (select pattern_id, n, codes, unnest(range(0, {dims})) as i from {p}c)
+  union all
+  select pattern_id, n, 'P|' || name, 1000000 from (select pattern_id, n, unnest(pset) as name from {p})),
+{kind}k0 as (
+  select f.cluster, r.dim, r.x from {kind}kr r join (
+    select pattern_id, row_number() over (order by md5('1|' || pattern_id), pattern_id) - 1 as cluster
+    from {p}) f on f.pattern_id = r.pattern_id where f.cluster < {k})"""
+    ]
+    for r in range(rounds + 1):
+        ctes.append(
+            f"""
+{kind}a{r} as (
+  select pattern_id, n, cluster from (
+    select p.pattern_id, p.n, s.cluster, row_number() over (
+      partition by p.pattern_id order by s.square - 2 * coalesce(d.product, 0), s.cluster) as place
+    from {p} p
+      cross join (select cluster, sum(x * x)::BIGINT as square from {kind}k{r} group by cluster) s
+      left join (
+        select r.pattern_id, c.cluster, sum(r.x * c.x)::BIGINT as product
+        from {kind}kr r join {kind}k{r} c on c.dim = r.dim group by r.pattern_id, c.cluster) d
+      on d.pattern_id = p.pattern_id and d.cluster = s.cluster)
+  where place = 1),
+{kind}k{r + 1} as (
+  select t.cluster, t.dim, (t.total + 2000000 * z.size) // z.size - 2000000 as x
+  from (
+    select a.cluster, r.dim, sum(r.n * r.x)::BIGINT as total
+    from {kind}kr r join {kind}a{r} a on a.pattern_id = r.pattern_id group by a.cluster, r.dim) t
+  join (select cluster, sum(n)::BIGINT as size from {kind}a{r} group by cluster) z on z.cluster = t.cluster
+  where (t.total + 2000000 * z.size) // z.size - 2000000 <> 0)"""
+        )
+    ctes.append(
+        f"""
+{kind}c as (
+  select p.*, 'cluster_' || a.cluster::varchar as cluster_id
+  from {p} p join {kind}a{rounds} a on a.pattern_id = p.pattern_id)"""
+    )
+    return ",".join(ctes)
+
+
 def clustered(loss: float, method: str, noise: float = 0.0) -> list[str]:
     """nc and ec: patterns with cluster_id."""
-    make = _lsh if method == "lsh" else _minhash
+    make = {"lsh": _lsh, "minhash": _minhash, "kmeans": _kmeans}[method]
     return [*base(loss, noise), params(), make("n"), make("e")]
 
 
 def merged(loss: float, method: str, noise: float = 0.0) -> list[str]:
     """ncl, labeled, absorbed, nmember, ntyped, ntypes; etyped/etypes by ends and by type."""
+    absorbing = "false" if method == "kmeans" else "jaccard >= 0.9::DOUBLE"
     return [
         *clustered(loss, method, noise),
         f"""
@@ -208,7 +254,7 @@ jac as (
 absorbed as (
   select cluster_id, type_id, labels, jaccard from (
     select *, row_number() over (partition by cluster_id order by jaccard desc, labels) as r
-    from jac where jaccard >= 0.9::DOUBLE) where r = 1),
+    from jac where {absorbing}) where r = 1),
 abstract as (
   select cluster_id, md5('U' || {FS} || cluster_id) as type_id, labels from ncl
   where len(labels) = 0 and cluster_id not in (select cluster_id from absorbed)),

@@ -367,12 +367,15 @@ def minhash_edge_clusters_ml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*IDS.split(", "))
 
 
-@register("kmeans_nodes")
+KMEANS = sql.clustered(LOSS, "kmeans")
+
+
+@register("kmeans_nodes", sql.query(KMEANS, f"select {IDS} from nc"))
 def kmeans_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.cluster_kmeans(lossy_nodes(spark, sf_dir)).select(*IDS.split(", "))
 
 
-@register("kmeans_edges")
+@register("kmeans_edges", sql.query(KMEANS, f"select {IDS} from ec"))
 def kmeans_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.cluster_kmeans(lossy_edges(spark, sf_dir)).select(*IDS.split(", "))
 
@@ -481,13 +484,16 @@ def merge_edges_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edge_type_text(merge.merge_edges(edge_clusters(spark, sf_dir), ("type",)).types)
 
 
-@register("merge_kmeans_nodes")
+MERGED_KM = sql.merged(LOSS, "kmeans")
+
+
+@register("merge_kmeans_nodes", sql.query(MERGED_KM, f"select {NODE_TYPE_TEXT} from ntypes"))
 def merge_kmeans_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     clusters = node_clusters(spark, sf_dir, "kmeans")
     return node_type_text(merge.merge_nodes(clusters, absorb=False).types)
 
 
-@register("merge_kmeans_edges")
+@register("merge_kmeans_edges", sql.query(MERGED_KM, f"select {EDGE_TYPE_TEXT} from etypes"))
 def merge_kmeans_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edge_type_text(merge.merge_edges(edge_clusters(spark, sf_dir, "kmeans")).types)
 
@@ -1301,16 +1307,11 @@ def discover_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _discovered(spark, sf_dir, "minhash")
 
 
-@register("discover_kmeans")
+@register("discover_kmeans", _schema_sql("kmeans"))
 def discover_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _discovered(spark, sf_dir, "kmeans")
 
 
-@register("discover_all")
-def discover_all_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return discover_all(lossy_graph(spark, sf_dir))
-
-
 def _cell_sql(noise_: float, loss: float, method: str) -> str:
     nodes = (
         "select array_to_string(actual, ',') as truth, list_contains(actual, majority) as hit"
@@ -1328,6 +1329,16 @@ def _cell_sql(noise_: float, loss: float, method: str) -> str:
     )
 
 
+@register(
+    "discover_all",
+    "select * exclude (noise, label_loss) from ("
+    + " union all ".join(f"({_cell_sql(0.0, LOSS, m)})" for m in cluster.METHODS)
+    + ")",
+)
+def discover_all_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(discover_all(lossy_graph(spark, sf_dir)))
+
+
 def _grid_sql(method: str) -> str:
     cells = [(n, lost, method) for n in NOISE_LEVELS for lost in LABEL_LOSS]
     return " union all ".join(f"({_cell_sql(*cell)})" for cell in cells)
@@ -1343,7 +1354,7 @@ def robustness_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(robustness_grid(load_graph(spark, sf_dir), methods=("minhash",)))
 
 
-@register("robustness_grid_kmeans")
+@register("robustness_grid_kmeans", _grid_sql("kmeans"))
 def robustness_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(robustness_grid(load_graph(spark, sf_dir), methods=("kmeans",)))
 
