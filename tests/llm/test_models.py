@@ -1,5 +1,6 @@
 """Toxicity, language model, url rules."""
 
+import itertools
 import math
 import random
 import re
@@ -8,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pytest
 
 from frames import ODD, odd_docs, rows_of
 from pyspark.sql import functions as F
@@ -300,6 +302,50 @@ def test_rules_of_any_size_of_input_and_place_in_a_url(spark):
     assert {r["verdict"] for r in judged.collect()} == {"block"}
 
 
+def brute_rules(rows, min_count, confidence):
+    """Rules of all token sets, by trying each; of tokens in the same urls the least is combined."""
+    urls = {t: frozenset(i for i, (ts, _) in enumerate(rows) if t in ts) for t in {t for ts, _ in rows for t in ts}}
+    hit = frozenset(i for i, (_, label) in enumerate(rows) if label == "block")
+    least = {t for t, at in urls.items() if not any(o < t and urls[o] == at for o in urls)}
+    sure = {}
+    for size in range(1, 7):
+        for items in itertools.combinations(sorted(urls if size == 1 else least), size):
+            at = frozenset.intersection(*(urls[t] for t in items))
+            n, hits = len(at), len(at & hit)
+            if hits >= min_count and hits / n >= confidence and hits / n > len(hit) / len(rows):
+                sure[items] = hits / n
+    return {
+        items: value for items, value in sure.items()
+        if not any(sure.get(tuple(x for x in items if x != t), -1) >= value for t in items)
+    }
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_mined_rules_are_those_of_trying_every_set(spark, seed):
+    draw = random.Random(seed)
+    rows = []
+    for _ in range(300):
+        tokens = [t for t in "abcdef" if draw.random() < 0.5] + [draw.choice("xyz")] * 2
+        tokens += ["a2"] * ("a" in tokens) + ["common"]  # a and a2 are in the same urls
+        bad = {"a", "b", "x"} <= set(tokens) or {"c", "d", "e", "y"} <= set(tokens) or draw.random() < 0.03
+        rows.append((tokens, "block" if bad else "allow"))
+    labels = spark.createDataFrame(rows, "tokens array<string>, label string")
+    want = brute_rules(rows, 4, 0.7)
+    got = {tuple(r["items"]): r["confidence"] for r in U.mine(labels, 4, 0.7).collect()}
+    assert got == want and max(map(len, want)) > 3
+    pairs = U.mine(labels, 4, 0.7, max_items=2)
+    assert {tuple(r["items"]) for r in pairs.collect()} == {i for i in want if len(i) <= 2}
+
+
+def test_a_token_of_most_urls_is_dealt_into_groups(spark):
+    rows = [(i, "hot" if i % 3 else f"t{i}") for i in range(3000)] + [(3000, None)]
+    urls = spark.createDataFrame(rows, "row long, token string")
+    index = spark.createDataFrame([("hot", 1), ("hot", 2), ("t0", 3)], "token string, rule int")
+    looked_up = U._looked_up(urls, index, "left")
+    assert looked_up.count() == 2 * 2000 + 1000 + 1
+    assert looked_up.filter("rule = 3").count() == 1
+
+
 def test_no_pages(spark):
     frame = pages(spark, URLS).limit(0)
     mined = U.mine(U.labelled(frame, RULES))

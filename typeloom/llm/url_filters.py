@@ -1,9 +1,9 @@
 """URL filters from association rules, with built-in functions only.
 
-Token combinations of labelled urls that imply a label are mined level by level; rules that
-are sure and frequent enough, and surer than the same rule with a token fewer, make up
-the filter.  An inverted index from each rule's rarest token finds the rules of a url.
-A short list of given rules goes first.
+Spark's FP-growth mines the token combinations of labelled urls; an inverted index counts the
+other urls that have them.  Rules that are sure and frequent enough, and surer than the same
+rule with a token fewer, make up the filter.  An inverted index from each rule's rarest token
+finds the rules of a url.  A short list of given rules goes first.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,10 +24,8 @@ SEED_WORDS = (
     "casino", "pills", "viagra", "adult", "porn", "bets", "betting", "poker", "spam", "ads",
     "adserver", "track", "tracker", "malware", "phish", "warez", "loan", "replica",
 )
-#: Tokens that a rule has at most.
-MAX_ITEMS = 4
-#: Groups that the urls of a token are dealt into where rules are looked up.
-SALTS = 8
+#: Parts of all looked-up tokens that one group may hold.
+PARTS = 1024
 
 
 def with_parts(pages: DataFrame, url_column: str = "url") -> DataFrame:
@@ -114,73 +113,123 @@ EMPTY = (
 )
 
 
-def _looked_up(urls: DataFrame, index: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    """``urls``, by their ``row`` in groups, joined with an index that every group has."""
-    dealt = urls.withColumn("salt", F.col("row") % SALTS)
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
-    return dealt.join(index.withColumn("salt", every), [*keys, "salt"], how).drop("salt")
+def _looked_up(urls: DataFrame, index: DataFrame, how: str) -> DataFrame:
+    """``urls``, one row for each ``token`` of a ``row``, joined with an index by token.
+
+    A token with more than one part in ``PARTS`` of all rows is dealt into groups in proportion.
+    There are fewer than ``PARTS`` of these, at any size of input, so their list may be broadcast.
+    """
+    top = urls.filter(F.col("token").isNotNull()).agg(
+        F.expr(f"approx_top_k(token, {PARTS}, {16 * PARTS})").alias("top"),
+        F.count(F.lit(1)).alias("total"),
+    )
+    share = F.col("top.count") * PARTS / F.col("total")
+    hot = F.broadcast(
+        pin(
+            top.select(F.explode("top").alias("top"), "total")
+            .filter(share > 1)
+            .select(F.col("top.item").alias("token"), F.ceil(share).cast("int").alias("groups"))
+        )
+    )
+    groups = F.coalesce("groups", F.lit(1))
+    dealt = urls.join(hot, "token", "left").withColumn("salt", F.pmod("row", groups).cast("int"))
+    copied = index.join(hot, "token", "left").withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), groups - 1))
+    )
+    return dealt.drop("groups").join(copied.drop("groups"), ["token", "salt"], how).drop("salt")
 
 
-def _levels(baskets: DataFrame, verdict: str, min_count: int, max_items: int) -> list[DataFrame]:
-    """Tables (items, n, hits) of token sets that ``min_count`` urls of the verdict have, by size.
+def _singles(baskets: DataFrame, min_count: int) -> DataFrame:
+    """(token, n, hits, a, b) of tokens with ``min_count`` hits; a and b name the set of its urls."""
+    placed = baskets.select("row", "hit", F.explode("tokens").alias("token"))
+    return pin(
+        placed.groupBy("token")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum(F.col("hit").cast("long")).alias("hits"),
+            F.bit_xor(F.xxhash64("row")).alias("a"),
+            F.bit_xor(F.xxhash64("row", F.lit(1))).alias("b"),
+        )
+        .filter(F.col("hits") >= min_count)
+    )
 
-    A set is extended if it is not yet certain and each of its tokens makes it rarer; of all
-    others a larger set is no surer than the same with a token fewer.
+
+def _combinations(
+    baskets: DataFrame, single: DataFrame, min_count: int, max_items: int | None
+) -> DataFrame | None:
+    """(items, n, hits) of the combinations that FP-growth finds in ``min_count`` hits; None if none.
+
+    A token that is certain by itself, or that occurs in just the urls of a lesser one, makes no
+    combination surer than without it and is left out before.
     """
-    urls = baskets.select("row", "tokens", (F.col("label") == verdict).alias("hit"))
-    counted = [F.count(F.lit(1)).alias("n"), F.sum(F.col("hit").cast("long")).alias("hits")]
-    frequent = F.col("hits") >= min_count
-    single = urls.select("hit", F.explode("tokens").alias("item")).groupBy("item").agg(*counted)
-    level = pin(single.filter(frequent).select(F.array("item").alias("items"), "n", "hits"))
-    found, grown = [level], level.filter("hits < n").select("items", "n")
+    tokens_left = pin(
+        single.filter("hits < n").groupBy("n", "hits", "a", "b").agg(F.min("token").alias("token"))
+    )
     placed = _looked_up(
-        urls.select("row", "hit", F.explode("tokens").alias("token")),
-        grown.select(F.element_at("items", 1).alias("token")),
-        ["token"],
+        baskets.select("row", "hit", F.explode("tokens").alias("token")),
+        tokens_left.select("token"),
         "inner",
     )
-    rows = pin(placed.groupBy("row", "hit").agg(F.sort_array(F.collect_list("token")).alias("open")))
-    sets = rows.select("*", F.explode(F.transform("open", lambda x: F.array(x))).alias("items"))
-    for size in range(2, max_items + 1):
-        later = F.filter("open", lambda x: x > F.element_at("items", -1))
-        sets = sets.select(
-            "row",
-            "hit",
-            "open",
-            F.explode(F.transform(later, lambda x: F.concat("items", F.array(x)))).alias("items"),
-        )
-        level = pin(sets.groupBy("items").agg(*counted).filter(frequent))
-        found.append(level)
-        part = F.explode(F.transform("items", lambda x: F.array_remove("items", x))).alias("part")
-        parts = level.filter("hits < n").select("items", "n", part)
-        grown = pin(
-            parts.join(grown.select(F.col("items").alias("part"), F.col("n").alias("of_part")), "part")
-            .groupBy("items", "n")
-            .agg(F.min("of_part").alias("least"), F.count(F.lit(1)).alias("parts"))
-            .filter((F.col("parts") == size) & (F.col("n") < F.col("least")))
-            .select("items", "n")
+    rows = pin(
+        placed.groupBy("row", "hit")
+        .agg(F.collect_list("token").alias("left"))
+        .filter(F.size("left") > 1)
+    )
+    hits = rows.filter("hit")
+    total = hits.count()
+    if total < min_count:
+        return None
+    # half a url less, so that rounding never asks for one more
+    miner = FPGrowth(itemsCol="left", minSupport=(min_count - 0.5) / total)
+    wanted = F.size("items") > 1
+    if max_items is not None:
+        wanted &= F.size("items") <= max_items
+    sets = pin(
+        miner.fit(hits).freqItemsets.filter(wanted).select(
+            F.sort_array("items").alias("items"), F.col("freq").alias("hits")
         )
-        if grown.isEmpty():
-            break
-        sets = _looked_up(sets, grown.select("items"), ["items"], "inner")
-    return found
+    )
+    index = (
+        sets.select("items", F.explode("items").alias("token"))
+        .join(tokens_left.select("token", (F.col("n") - F.col("hits")).alias("misses")), "token")
+        .groupBy("items")
+        .agg(F.min_by("token", F.struct("misses", "token")).alias("token"))
+    )
+    others = rows.filter("not hit").select("row", "left", F.explode("left").alias("token"))
+    missed = (
+        _looked_up(others, index, "inner")
+        .filter(F.size(F.array_except("items", "left")) == 0)
+        .groupBy("items")
+        .agg(F.count(F.lit(1)).alias("misses"))
+    )
+    return sets.join(missed, "items", "left").select(
+        "items", (F.col("hits") + F.coalesce("misses", F.lit(0))).alias("n"), "hits"
+    )
 
 
 def mine(
     labels: DataFrame,
     min_count: int = 5,
     min_confidence: float = 0.8,
-    max_items: int = MAX_ITEMS,
+    max_items: int | None = None,
     verdicts: Sequence[str] = (BLOCK,),
 ) -> DataFrame:
     """Rules (rule_id, items, verdict, confidence, support, token) of (tokens, label) rows.
 
-    Rules imply one of ``verdicts``; the verdict that urls get by default needs none.  They hold
-    for ``min_count`` urls at least, however many urls there are, and have up to ``max_items``
-    tokens, from anywhere in a url.  ``token`` is the item of a rule that is rarest among the
-    labelled urls.  The table is pinned; it grows with the labelled urls.
+    Spark's FP-growth mines the urls of each of ``verdicts``; the verdict that urls get by default
+    needs none.  Rules hold for ``min_count`` urls at least, however many urls there are, and have
+    tokens from anywhere in a url, as many as there are unless ``max_items`` is given.  Of tokens
+    that occur in the same urls each may be a rule, the least alone is combined with others.
+    ``token`` is the item of a rule that is rarest among the labelled urls.  The table is
+    pinned.  Combinations grow with the power of the tokens that blocked and other urls share.
     """
-    baskets = pin(labels.select(F.monotonically_increasing_id().alias("row"), "tokens", "label"))
+    baskets = pin(
+        labels.select(
+            F.monotonically_increasing_id().alias("row"),
+            F.array_distinct("tokens").alias("tokens"),
+            "label",
+        )
+    )
     totals = {r["label"]: r["count"] for r in baskets.groupBy("label").count().collect()}
     n = sum(totals.values())
     verdicts = [v for v in verdicts if v in totals]
@@ -188,22 +237,22 @@ def mine(
         return labels.sparkSession.createDataFrame([], EMPTY)
     tables, singles = [], []
     for verdict in verdicts:
-        levels = _levels(baskets, verdict, min_count, max_items)
-        for level in levels:
-            sure = F.col("hits") / F.col("n")
-            tables.append(
-                level.filter((sure >= min_confidence) & (sure > totals[verdict] / n)).select(
-                    "items",
-                    F.lit(verdict).alias("verdict"),
-                    sure.alias("confidence"),
-                    (F.col("hits") / n).alias("support"),
-                )
+        marked = baskets.select("row", "tokens", (F.col("label") == verdict).alias("hit"))
+        single = _singles(marked, min_count)
+        singles.append(single.select("token", F.lit(verdict).alias("verdict"), "n"))
+        combined = _combinations(marked, single, min_count, max_items)
+        alone = single.select(F.array("token").alias("items"), "n", "hits")
+        sure = F.col("hits") / F.col("n")
+        tables += [
+            found.filter((sure >= min_confidence) & (sure > totals[verdict] / n)).select(
+                "items",
+                F.lit(verdict).alias("verdict"),
+                sure.alias("confidence"),
+                (F.col("hits") / n).alias("support"),
             )
-        singles.append(
-            levels[0].select(
-                F.element_at("items", 1).alias("item"), F.lit(verdict).alias("verdict"), "n"
-            )
-        )
+            for found in (alone, combined)
+            if found is not None
+        ]
     rules = pin(reduce(DataFrame.unionByName, tables))
     single = reduce(DataFrame.unionByName, singles)
     shorter = rules.select(
@@ -225,10 +274,10 @@ def mine(
         "rule_id", F.array_join("items", " ")
     )
     rarest = (
-        kept.select("rule_id", "verdict", F.explode("items").alias("item"))
-        .join(single, ["item", "verdict"])
+        kept.select("rule_id", "verdict", F.explode("items").alias("token"))
+        .join(single, ["token", "verdict"])
         .groupBy("rule_id", "verdict")
-        .agg(F.min_by("item", F.struct("n", "item")).alias("token"))
+        .agg(F.min_by("token", F.struct("n", "token")).alias("token"))
     )
     return pin(
         kept.join(rarest, ["rule_id", "verdict"]).select(
@@ -267,9 +316,7 @@ def judge_urls(
             "confidence", "support", F.size("items").alias("size"), "verdict", "rule_id"
         ).alias("found")
     )
-    looked_up = _looked_up(
-        placed.withColumn("token", F.explode_outer("tokens")), index, ["token"], "left"
-    )
+    looked_up = _looked_up(placed.withColumn("token", F.explode_outer("tokens")), index, "left")
     fits = F.size(F.array_except("items", "tokens")) == 0
     best = looked_up.groupBy("row", "_id", "host", "path", "given").agg(
         F.max(F.when(fits, F.col("found"))).alias("found")
