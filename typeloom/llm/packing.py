@@ -31,10 +31,21 @@ from typeloom.llm.common import text_or_empty, text_slices, worker_cache
 KEPT_WORDS = 600_000
 #: Words that are encoded as one text.
 TOGETHER = 20_000
+#: Signs beyond ASCII that are neither letters nor digits; a tokenizer may drop or change them.
+ODD_SIGN = re.compile(r"[^!-~\w]")
 #: Without these, lower-casing the text first changes no id.
 NOT_PLAIN = re.compile("<[|]|[İɐ-\U0010ffff]")
 
 
+class Kept(dict):
+    """Ids of words that stay, and of those that are looked up in ``others`` this time."""
+
+    others: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        return self.others[word]
+
+
 class WordEncoder:
     """Ids of texts under a tokenizer that drops white space and lower-cases.
 
@@ -46,7 +57,7 @@ class WordEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.kept: dict[str, bytes] = {}
+        self.kept = Kept()
         # Bytes of a token: one for each letter of its name, which may end in a mark of the word's end.
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None) or ""
         vocabulary = self.tokenizer.get_vocab()
@@ -86,14 +97,10 @@ class WordEncoder:
             (plain if is_plain(word) else odd).append(word)
         fresh = dict(zip(odd, self._alone(odd), strict=True))
         fresh.update(zip(plain, self._together(plain), strict=True))
-        room = max(0, KEPT_WORDS - len(kept))
-        if len(fresh) <= room:
-            kept.update(fresh)
-            get = kept.__getitem__
-        else:  # the commonest words are there already, or come now
-            kept.update(islice(fresh.items(), room))
-            get = (kept | fresh).__getitem__ if fresh else kept.__getitem__
-        return [np.frombuffer(b"".join(map(get, row)), "<u4") for row in words]
+        # the commonest words are there already, or come now
+        kept.update(islice(fresh.items(), max(0, KEPT_WORDS - len(kept))))
+        kept.others = fresh
+        return [np.frombuffer(b"".join(map(kept.__getitem__, row)), "<u4") for row in words]
 
 
 def words_of(text: str) -> list[str]:
@@ -111,14 +118,15 @@ def is_plain(word: str) -> bool:
         return False
     if word.isascii():
         return word.isprintable() and word == word.lower()
-    return word.isalnum() and word == word.lower() and unicodedata.is_normalized("NFC", word)
+    return not ODD_SIGN.search(word) and word == word.lower() and unicodedata.is_normalized("NFC", word)
 
 
 def tokenized(
     docs: DataFrame, path: str, end_id: int, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
-    """(id, part, start, n, ids): ids of each text and ``end_id`` as little-endian bytes.
+    """(id, part, start, n, ids): ids of each text and ``end_id``, little-endian, 4 * n bytes.
 
+    Where all ids of the tokenizer are below 65536 they have 2 bytes each, so half is written.
     ``part`` is the number of the row's partition and ``start`` the count of
     ids before it there.
     """
@@ -127,10 +135,12 @@ def tokenized(
         encoder = worker_cache(f"words:{path}", lambda: WordEncoder(path))
         part = TaskContext.get().partitionId()
         start = 0
-        end = np.array([end_id], "<u4").tobytes()
+        kind = "<u2" if max(len(encoder.sizes), end_id + 1) <= 1 << 16 else "<u4"
+        end = np.array([end_id], kind).tobytes()
         for batch, texts in text_slices(batches):
-            ids = [row.tobytes() + end for row in encoder.encode(texts)]
-            sizes = [len(row) // 4 for row in ids]
+            rows = encoder.encode(texts)
+            ids = [row.astype(kind).tobytes() + end for row in rows]
+            sizes = [len(row) + 1 for row in rows]
             starts = list(accumulate(sizes, initial=start))
             start = starts.pop()
             yield pa.RecordBatch.from_arrays(
@@ -174,6 +184,8 @@ def concatenate_and_cut(encoded: DataFrame, window: int) -> DataFrame:
             for i, (part, start, n) in enumerate(zip(*columns, strict=True)):
                 at, end = base_of[part] + start, base_of[part] + start + n
                 data, first = ids[i].as_py(), at
+                if len(data) == 2 * n:
+                    data = np.frombuffer(data, "<u2").astype("<u4").tobytes()
                 while at < end:
                     stop = min(end, (at // window + 1) * window)
                     rows.append(i)
