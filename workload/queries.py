@@ -18,7 +18,7 @@ from typeloom.plans.robustness import LABEL_LOSS, NOISE_LEVELS
 from typeloom.sources import batches, csv_graph, wide
 from typeloom.streaming import schema_from_state, update_state
 from workload import oracle as sql
-from workload.graph import load_graph
+from workload.graph import EDGE_TABLES, NODE_TABLES, load_graph
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -200,22 +200,23 @@ def align_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.align_wide(customers, suppliers)
 
 
-PRESENCE_NAMES = ("acctbal", "name", "orderpriority", "quality", "size", "value")
+NODE_NAMES = sorted({name for t in NODE_TABLES for name, _ in t.props})
+EDGE_NAMES = sorted({name for t in EDGE_TABLES for name, _ in t.props})
 
 
-@register(
-    "presence_matrix",
-    sql.query(
-        CLEAN,
-        "select node_id, "
-        + ", ".join(
-            f"list_contains(pset, '{n}')::INTEGER::DOUBLE as prop_{n}" for n in PRESENCE_NAMES
-        )
-        + " from nodes",
-    ),
-)
+def _presence_sql(rows: str, id_column: str, names: list[str]) -> str:
+    bits = ", ".join(f"list_contains(pset, '{n}')::INTEGER::DOUBLE as prop_{n}" for n in names)
+    return sql.query(CLEAN, f"select {id_column}, {bits} from {rows}")
+
+
+@register("presence_matrix", _presence_sql("nodes", "node_id", NODE_NAMES))
 def presence_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return patterns.presence(load_graph(spark, sf_dir).nodes, PRESENCE_NAMES)
+    return patterns.presence(load_graph(spark, sf_dir).nodes, NODE_NAMES)
+
+
+@register("presence_matrix_edges", _presence_sql("edges", "edge_id", EDGE_NAMES))
+def presence_matrix_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patterns.presence(load_graph(spark, sf_dir).edges, EDGE_NAMES, "edge_id")
 
 
 @register(
