@@ -8,6 +8,7 @@ not specified, a document nobody rated).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -201,8 +202,8 @@ def register(spark: SparkSession, sf_dir: str) -> None:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
 
 
-def _wide(spark: SparkSession, table: Table, keys: tuple[str, ...]) -> DataFrame:
-    columns = [f"{e} as {k}" for e, k in zip(table.ids, keys)]
+def wide_table(spark: SparkSession, table: Table, keys: Sequence[str]) -> DataFrame:
+    columns = [f"{e} as `{k}`" for e, k in zip(table.ids, keys)]
     columns += [f"{e} as `{n}`" for n, e in table.props]
     return spark.sql(f"select {', '.join(columns)} from {table.source}")
 
@@ -226,13 +227,13 @@ def _load(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     register(spark, sf_dir)
     nodes = [
         nodes_from_wide(
-            _wide(spark, t, ("node_key",)), "node_key", [n for n, _ in t.props], labels=[t.name]
+            wide_table(spark, t, ("node_key",)), "node_key", [n for n, _ in t.props], labels=[t.name]
         )
         for t in NODE_TABLES
     ]
     edges = [
         edges_from_wide(
-            _wide(spark, t, ("edge_key", "src_key", "dst_key")),
+            wide_table(spark, t, ("edge_key", "src_key", "dst_key")),
             "src_key",
             "dst_key",
             F.lit(t.name),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +18,8 @@ from typeloom.plans.robustness import LABEL_LOSS, NOISE_LEVELS
 from typeloom.sources import batches, csv_graph, wide
 from typeloom.streaming import schema_from_state, update_state
 from workload import oracle as sql
-from workload.graph import EDGE_TABLES, NODE_TABLES, load_graph
+from workload.graph import EDGE_TABLES, NODE_TABLES, Table, load_graph, wide_table
+from workload.graph import register as register_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1438,3 +1439,58 @@ def csv_graph_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).unionByName(
         edge_counts.groupBy("kind", "name").agg(count).withColumn("element", F.lit("edge"))
     )
+
+
+CSV_TEXTS = ("brand", "kind", "lang", "mktsegment", "name", "role", "source", "text", "type")
+
+
+def _csv_values_sql(element: str, kind: str, rows: str) -> str:
+    """Values and their characters by name; numbers and times are written differently by engines."""
+    return (
+        f"select '{element}' as element, {kind} as kind, name, count(*) as n,"
+        f" sum(case when name in {CSV_TEXTS} then length(val) else 0 end)::BIGINT as n_chars"
+        f" from (select {kind}, unnest(names) as name, unnest(vals) as val from {rows})"
+        f" where val is not null group by {kind}, name"
+    )
+
+
+@register(
+    "csv_whole_graph",
+    sql.query(
+        CLEAN,
+        f"{_csv_values_sql('node', 'label', 'raw_nodes')}"
+        f" union all {_csv_values_sql('edge', 'edge_type', 'raw_edges')}",
+    ),
+)
+def csv_whole_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All node and edge tables, texts with line breaks included, as CSV files read back as a graph."""
+    folder = work_folder(spark)
+
+    def write(tables: Sequence[Table], *keys: str) -> dict[str, list[str]]:
+        paths: dict[str, list[str]] = {}
+        for i, table in enumerate(tables):
+            path = f"{folder}/{keys[0].strip(':').lower()}_{i}"
+            wide_table(spark, table, keys).write.csv(
+                path,
+                header=True,
+                sep="|",
+                quote='"',
+                escape='"',
+                ignoreLeadingWhiteSpace=False,
+                ignoreTrailingWhiteSpace=False,
+            )
+            paths.setdefault(table.name, []).append(path)
+        return paths
+
+    register_tables(spark, sf_dir)
+    graph = csv_graph.read_csv_graph(
+        spark, write(NODE_TABLES, ":ID"), write(EDGE_TABLES, ":IGNORE", ":START_ID", ":END_ID")
+    )
+    long = graph.nodes.select(
+        F.lit("node").alias("element"), F.explode("labels").alias("kind"), "props"
+    ).unionByName(graph.edges.select(F.lit("edge").alias("element"), F.col("edge_type").alias("kind"), "props"))
+    values = long.select("element", "kind", F.explode("props").alias("name", "value")).filter("value is not null")
+    chars = F.when(F.col("name").isin(*CSV_TEXTS), F.length("value")).otherwise(0)
+    return values.groupBy("element", "kind", "name").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(chars).cast("long").alias("n_chars")
+    )
