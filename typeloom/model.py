@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from typeloom.functions.labels import clean_set
+from typeloom.functions.skew import hot_keys, split_join
 
 PROPS_TYPE = "map<string,string>"
 
@@ -38,34 +39,28 @@ def with_prop_set(df: DataFrame) -> DataFrame:
     return df.withColumn("prop_set", present_names(F.col("props")))
 
 
-def endpoint_labels(
-    edges: DataFrame, nodes: DataFrame, labels: str = "labels", salts: int = 8
-) -> DataFrame:
+def endpoint_labels(edges: DataFrame, nodes: DataFrame, labels: str = "labels") -> DataFrame:
     """Add ``src_labels`` and ``dst_labels`` by two equi-joins on the node id.
 
     An id that several rows share has the labels of all of them, so an edge
-    stays one row.  The node side is narrow and dealt out ``salts`` times, and the edges
-    of a node in as many groups, so a node that owns a great part of all edges is no one
-    task's alone.
+    stays one row.  A sketch over both ends, in one scan that this call starts, finds the nodes
+    that own more than 1/256 of all edges; their edges are dealt out in proportion, and only
+    their labels are copied.
     """
     side = (
         nodes.select("node_id", F.explode_outer(clean_set(F.col(labels))).alias("_label"))
         .groupBy("node_id")
         .agg(F.array_sort(F.collect_set("_label")).alias("_labels"))
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
     none = F.array().cast("array<string>")
+    hot = hot_keys(edges, "src_id", "dst_id")
     out = edges
     for end in ("src", "dst"):
         names = side.select(
-            F.col("node_id").alias(f"{end}_id"), "_salt", F.col("_labels").alias(f"{end}_labels")
+            F.col("node_id").alias(f"{end}_id"), F.col("_labels").alias(f"{end}_labels")
         )
-        salt = F.pmod(F.xxhash64("edge_id", F.lit(end)), F.lit(salts)).cast("int")
-        out = (
-            out.withColumn("_salt", salt)
-            .join(names, [f"{end}_id", "_salt"], "left")
-            .withColumn(f"{end}_labels", F.coalesce(f"{end}_labels", none))
-            .drop("_salt")
+        out = split_join(out, names, f"{end}_id", hot, [F.col("edge_id"), F.lit(end)]).withColumn(
+            f"{end}_labels", F.coalesce(f"{end}_labels", none)
         )
     return out
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from typeloom.functions.sizing import pin
+from typeloom.functions.skew import hot_keys, split_join
 
 
 def _prefixes(sets: DataFrame, frequency: DataFrame, threshold: float) -> DataFrame:
@@ -75,34 +76,40 @@ def jaccard_pairs(
     )
 
 
+def _fingerprint(links: DataFrame) -> tuple:
+    row = links.agg(
+        F.count(F.lit(1)), F.sum(F.xxhash64("id", "to").cast("decimal(38,0)")).cast("string")
+    ).first()
+    return tuple(row)
+
+
 def connected_components(ids: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, component): the least id that each id can reach over the pairs.
 
-    Every round each id takes the least component among its neighbours and
-    then the component of that component, so a chain of length d needs about
-    log d rounds.  A round is pinned, which cuts the lineage.
+    Links lead from the larger id to the smaller.  A round is a large star, in which each link
+    is led on to the least id that its end is linked to, and a small star, in which the ends of
+    an id's links are linked to the least of them.  Rounds grow with the logarithm of a
+    component's diameter, and links do not multiply.  An id with a great part of all links is
+    dealt out in proportion, on both sides.  Every star is pinned, which cuts the lineage.
     """
-    links = pairs.select(F.col("left_id").alias("id"), F.col("right_id").alias("other"))
-    both = pin(
-        links.unionAll(links.select(F.col("other").alias("id"), F.col("id").alias("other")))
-        .filter("id <> other")
+    links = pin(
+        pairs.filter("left_id <> right_id")
+        .select(F.greatest("left_id", "right_id").alias("id"), F.least("left_id", "right_id").alias("to"))
         .distinct()
     )
-    state = pin(ids.select("id", F.col("id").alias("component")).distinct())
-    while True:
-        of_other = state.select(F.col("id").alias("other"), F.col("component").alias("seen"))
-        nearest = both.join(of_other, "other").groupBy("id").agg(F.min("seen").alias("seen"))
-        lowered = state.join(nearest, "id", "left").select(
-            "id",
-            F.col("component").alias("before"),
-            F.least("component", "seen").alias("component"),
+    before, now = None, _fingerprint(links)
+    while now[0] and now != before:
+        hot = hot_keys(links, "id", "to")
+        least = links.groupBy("id").agg(F.min("to").alias("least"))
+        led = split_join(links, least.withColumnRenamed("id", "to"), "to", hot, [F.col("id")])
+        large = pin(led.select("id", F.coalesce("least", "to").alias("to")).distinct())
+        least = large.groupBy("id").agg(F.min("to").alias("least"))
+        small = split_join(large, least, "id", hot, [F.col("to")], "inner").select(
+            F.explode(F.array("id", "to")).alias("id"), F.col("least").alias("to")
         )
-        jump = lowered.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        moved = pin(
-            lowered.join(jump, "component").select(
-                "id", "before", F.least("component", "further").alias("component")
-            )
-        )
-        state = moved.select("id", "component")
-        if moved.filter("before <> component").limit(1).count() == 0:
-            return state
+        links = pin(small.filter("id <> to").distinct())
+        before, now = now, _fingerprint(links)
+    ends = links.withColumnRenamed("to", "component")
+    return pin(
+        ids.select("id").distinct().join(ends, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    )
