@@ -12,11 +12,12 @@ from typeloom.operators.cluster import (
     cluster_minhash,
     cluster_property_sets,
     cluster_summary,
+    distance_moments,
     distance_stats,
     lsh_params,
     minhash_params,
 )
-from typeloom.operators.encode import assemble
+from typeloom.operators.encode import assemble, feature_rows, vocabulary
 from typeloom.operators.patterns import node_patterns, node_truth_counts, patterns_of_truth, presence
 
 
@@ -60,6 +61,41 @@ def test_distance_stats_of_a_small_table_are_exact(spark):
     assert row["stddev_distance"] == pytest.approx(deviation, abs=1e-6)
 
 
+def test_distance_moments_are_those_of_all_pairs(spark):
+    def code(label):
+        return [code32_of(f"42|{i}|{label}") % 200001 - 100000 for i in range(5)]
+
+    elements = [(code(label), set(names)) for label, names, n in BASIC for _ in range(n)]
+    squares = [
+        sum((x - y) ** 2 for x, y in zip(c1, c2)) / 1e12 + len(s1 ^ s2)
+        for (c1, s1), (c2, s2) in itertools.combinations(elements, 2)
+        if (c1, s1) != (c2, s2)
+    ]
+    row = distance_moments(patterns(spark, BASIC)).first()
+    assert row["n_pairs"] == len(squares)
+    assert row["mean_square"] == pytest.approx(sum(squares) / len(squares), abs=1e-6)
+    assert row["rms_distance"] == pytest.approx(math.sqrt(sum(squares) / len(squares)), abs=1e-6)
+    huge = [("A", ["p"], 10**9), ("B", ["q"], 10**9)]
+    assert distance_moments(patterns(spark, huge)).first()["n_pairs"] == 1e18
+    alike = distance_moments(patterns(spark, [("A", ["p"], 5)])).first()
+    assert (alike["n_pairs"], alike["mean_square"]) == (0, None)
+    assert lsh_params(patterns(spark, [("A", ["p"], 5)]), exact=True).first()["bucket"] == 0.2
+
+
+def test_vocabulary_and_feature_rows(spark):
+    names = [f"n{i:03d}" for i in range(120)]
+    p = patterns(spark, [("A", names, 1), ("", names[50:52], 2), ("B", [], 1)])
+    assert {r["name"]: r["idx"] for r in vocabulary(p).collect()} == {x: i for i, x in enumerate(names)}
+    rows = feature_rows(p)
+    bits = {r["pattern_id"]: r["n"] for r in rows.filter("idx >= 5").groupBy("pattern_id").agg(F.count("*").alias("n")).collect()}
+    assert bits == {"p0": 120, "p1": 2}
+    vectors = {r["pattern_id"]: r["features"] for r in assemble(p).collect()}
+    assert {v.size for v in vectors.values()} == {125}
+    for r in rows.collect():
+        assert vectors[r["pattern_id"]][r["idx"]] == r["value"]
+    assert vectors["p1"].toArray()[5:].nonzero()[0].tolist() == [50, 51]
+
+
 def test_distance_sample_is_bounded_and_fair(spark):
     big = patterns(spark, [("A", ["p"], 60_000_000), ("B", ["p", "q", "r"], 30_000_000)])
     row = distance_stats(big).first()

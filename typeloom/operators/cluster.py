@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from typeloom.functions.hashing import code32, code32_of, hash01, seeded
 from typeloom.operators.encode import SCALE, assemble, embedding_of, pattern_codes
-from typeloom.operators.lloyd import integer_kmeans
+from typeloom.operators.lloyd import integer_kmeans, sparse_rows
 from typeloom.operators.patterns import distinct_label_sets, is_edge_frame
 
 SAMPLE_SIZE = 10_000
@@ -100,6 +100,43 @@ def distance_stats(
     )
 
 
+def distance_moments(patterns: DataFrame, seed: int = 42) -> DataFrame:
+    """One row: n_pairs, mean_square, rms_distance of all pairs of elements whose features differ.
+
+    Exact, and without pairs: over all pairs the squared distances add up to
+    N * sum(n * |x|^2) - |sum(n * x)|^2, and equal elements add nothing to it.  Both sums are of
+    integers, by dimension; elements with equal features are counted to leave their pairs out.
+    """
+    wide = lambda c: F.col(c).cast("decimal(38,0)").cast("double")
+    lengths = sparse_rows(patterns, seed).agg(
+        F.sum(F.col("n").cast("decimal(18,0)") * (F.col("x") * F.col("x")).cast("decimal(15,0)")).alias("lengths")
+    )
+    centre = (
+        sparse_rows(patterns, seed)
+        .groupBy("dim")
+        .agg(F.sum(F.col("n") * F.col("x")).cast("double").alias("total"))
+        .agg(F.sum(F.col("total") * F.col("total")).alias("centre"))
+    )
+    alike = (
+        patterns.groupBy(pattern_codes(patterns, seed).alias("codes"), "prop_set")
+        .agg(F.sum("n").alias("n"))
+        .agg(
+            F.sum("n").cast("double").alias("all"),
+            F.sum(F.col("n").cast("decimal(18,0)") * F.col("n").cast("decimal(18,0)")).alias("equal"),
+        )
+    )
+    sums = alike.withColumn("lengths", lengths.scalar()).withColumn("centre", centre.scalar())
+    n_pairs = (F.col("all") * F.col("all") - wide("equal")) / 2
+    unit = F.lit(float(SCALE) ** 2)
+    square = (F.col("all") * wide("lengths") - F.col("centre")) / unit
+    mean = F.when(n_pairs > 0, square / n_pairs)
+    return sums.select(
+        n_pairs.alias("n_pairs"),
+        F.round(mean, 6).alias("mean_square"),
+        F.round(F.sqrt(mean), 6).alias("rms_distance"),
+    )
+
+
 # ---------------------------------------------------------------- parameters
 
 
@@ -121,10 +158,17 @@ def _size(patterns: DataFrame) -> DataFrame:
 
 
 def lsh_params(
-    patterns: DataFrame, sample_size: int = SAMPLE_SIZE, seed: int = 42
+    patterns: DataFrame, sample_size: int = SAMPLE_SIZE, seed: int = 42, exact: bool = False
 ) -> DataFrame:
-    """One row (n, bucket, tables) for the random projection of nodes or edges."""
-    stats = distance_stats(patterns, sample_size, seed).select("avg_distance")
+    """One row (n, bucket, tables) for the random projection of nodes or edges.
+
+    ``exact`` takes the root of the mean squared distance of all pairs for the mean distance of
+    a sample.
+    """
+    if exact:
+        stats = distance_moments(patterns, seed).select("rms_distance")
+    else:
+        stats = distance_stats(patterns, sample_size, seed).select("avg_distance")
     sized = _size(patterns).withColumn("avg_distance", stats.scalar())
     if is_edge_frame(patterns):
         bucket = F.col("avg_distance") * 1.2

@@ -9,12 +9,14 @@ are equal, different labels are some small distance apart.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import CountVectorizerModel, VectorAssembler, Word2Vec
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import Word2Vec
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from typeloom.functions.hashing import code32
+from typeloom.functions.sizing import pin
 from typeloom.operators.patterns import is_edge_frame
 from typeloom.sources.wide import property_keys
 
@@ -63,28 +65,60 @@ def embed_labels(
     raise ValueError(f"unknown embedding mode {mode}")
 
 
-def vocabulary(patterns: DataFrame) -> list[str]:
-    """Property names as the fixed dimensions of an ML model.
+def vocabulary(patterns: DataFrame) -> DataFrame:
+    """(name, idx): the property names, numbered from 0 in their order.
 
-    A model is held whole by every task that applies it, and so are its names, of which a
-    schema has as many as columns.  The hashed clusterings need no vocabulary.
+    Names are dealt out by range and ranked where they are; the counts of the ranges before
+    give each range its offset.  No task and no driver sees all names.
     """
-    return sorted(r["name"] for r in property_keys(patterns).collect())
+    placed = pin(
+        property_keys(patterns)
+        .select("name")
+        .repartitionByRange("name")
+        .select("name", F.spark_partition_id().alias("part"))
+    )
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (  # a row for each range
+        placed.groupBy("part")
+        .agg(F.count(F.lit(1)).alias("names"))
+        .select("part", F.coalesce(F.sum("names").over(before), F.lit(0)).alias("offset"))
+    )
+    rank = F.row_number().over(Window.partitionBy("part").orderBy("name"))
+    return placed.join(offsets, "part").select("name", (F.col("offset") + rank - 1).alias("idx"))
 
 
-def assemble(patterns: DataFrame, mode: str = "hash", seed: int = 42) -> DataFrame:
-    """Add ``features``: embeddings and presence bits in one ML vector."""
-    out = patterns
-    inputs = []
+def feature_rows(patterns: DataFrame, mode: str = "hash", seed: int = 42) -> DataFrame:
+    """(pattern_id, idx, value): the components of the feature vectors that are not 0.
+
+    Embeddings come first, then a bit for each name of the :func:`vocabulary`.  Names meet
+    their index in a join.
+    """
+    embedded, columns = patterns, []
     for col, dim in embedding_of(patterns).items():
-        out = embed_labels(out, col, dim, mode, seed)
-        inputs.append(f"{col}_vector")
-    names = vocabulary(patterns)
-    drop = list(inputs)
-    if names:
-        bits = CountVectorizerModel.from_vocabulary(names, "prop_set", "prop_vector")
-        out = bits.setBinary(True).transform(out)
-        inputs.append("prop_vector")
-        drop.append("prop_vector")
-    assembler = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="skip")
-    return assembler.transform(out).drop(*drop)
+        embedded = embed_labels(embedded, col, dim, mode, seed)
+        columns.append(vector_to_array(f"{col}_vector"))
+    dims = sum(embedding_of(patterns).values())
+    labels = embedded.select("pattern_id", F.posexplode(F.concat(*columns)).alias("idx", "value"))
+    bits = (
+        patterns.select("pattern_id", F.explode("prop_set").alias("name"))
+        .join(vocabulary(patterns), "name")
+        .select("pattern_id", (F.col("idx") + dims).alias("idx"), F.lit(1.0).alias("value"))
+    )
+    return labels.filter("value <> 0").withColumn("idx", F.col("idx").cast("bigint")).unionByName(bits)
+
+
+@F.udf(VectorUDT())
+def _sparse(width, entries):
+    return Vectors.sparse(width, [(e["idx"], e["value"]) for e in entries or []])
+
+
+def assemble(patterns: DataFrame, mode: str = "hash", seed: int = 42) -> DataFrame:
+    """Add ``features``: the :func:`feature_rows` of a pattern as a sparse ML vector."""
+    rows = feature_rows(patterns, mode, seed)
+    dims = sum(embedding_of(patterns).values())
+    width = property_keys(patterns).agg(F.count(F.lit(1)) + dims).scalar()
+    entries = rows.groupBy("pattern_id").agg(
+        F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("_entries")
+    )
+    found = patterns.join(entries, "pattern_id", "left").withColumn("_width", width)
+    return found.withColumn("features", _sparse("_width", "_entries")).drop("_width", "_entries")

@@ -70,14 +70,50 @@ ep as (
     ]
 
 
+def _all_codes(kind: str) -> str:
+    if kind == "n":
+        return codes("label_key", 5)
+    return f"list_concat(list_concat({codes('edge_type', 10)}, {codes('src_key', 4)}), {codes('dst_key', 4)})"
+
+
+def features() -> str:
+    """Non-zero components of the feature vectors of both kinds of patterns."""
+    parts = []
+    for element, kind, dims in (("node", "n", 5), ("edge", "e", 18)):
+        parts.append(
+            f"""
+select '{element}' as element, pattern_id, i as idx, c[i + 1]::DOUBLE / 1000000::DOUBLE as value
+from (select pattern_id, {_all_codes(kind)} as c, unnest(range(0, {dims})) as i from {kind}p)
+where c[i + 1] <> 0
+union all
+select '{element}', p.pattern_id, {dims} + v.rank, 1::DOUBLE
+from (select pattern_id, unnest(pset) as name from {kind}p) p
+join (select name, row_number() over (order by name) - 1 as rank
+      from (select distinct unnest(pset) as name from {kind}p)) v on v.name = p.name"""
+        )
+    return " union all ".join(parts)
+
+
+def moments(kind: str) -> str:
+    """Moments of the distances of all pairs of elements of one kind, by pairs of patterns."""
+    p = f"(select pset, n, {_all_codes(kind)} as codes from {kind}p)"
+    return f"""
+select sum(pairs)::DOUBLE as n_pairs,
+  case when sum(pairs) > 0 then round(sum(pairs * square)::DOUBLE / sum(pairs)::DOUBLE, 6) end as mean_square,
+  case when sum(pairs) > 0 then round(sqrt(sum(pairs * square)::DOUBLE / sum(pairs)::DOUBLE), 6) end as rms_distance
+from (
+  select a.n::DOUBLE * b.n::DOUBLE / 2 as pairs,
+    list_sum(list_transform(range(1, len(a.codes) + 1),
+      lambda i: (a.codes[i] - b.codes[i]) * (a.codes[i] - b.codes[i])))::DOUBLE / 1000000000000::DOUBLE
+    + len(list_filter(a.pset, lambda x: not list_contains(b.pset, x)))
+    + len(list_filter(b.pset, lambda x: not list_contains(a.pset, x))) as square
+  from {p} a, {p} b where a.codes <> b.codes or a.pset <> b.pset)"""
+
+
 def _stats(kind: str) -> str:
     """Distance sample of one kind of patterns; p is the CTE prefix."""
     p = f"{kind}p"
-    code = (
-        codes("label_key", 5)
-        if kind == "n"
-        else f"list_concat(list_concat({codes('edge_type', 10)}, {codes('src_key', 4)}), {codes('dst_key', 4)})"
-    )
+    code = _all_codes(kind)
     draw = f"""md5('{SEED}|' || pattern_id || '|' || copy::varchar)"""
     share = f"""least(10000 / (select sum(n) from {p})::DOUBLE, 1::DOUBLE)"""
     return f"""

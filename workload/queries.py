@@ -268,8 +268,17 @@ def label_hash_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("label_key", F.array_join(codes, ",").alias("codes")).distinct()
 
 
-@register("assemble_features")
+@register("assemble_features", sql.query(LOSSY, sql.features()))
 def assemble_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of the feature vectors of nodes and edges."""
+    nodes = encode.feature_rows(lossy_nodes(spark, sf_dir)).withColumn("element", F.lit("node"))
+    return nodes.unionByName(
+        encode.feature_rows(lossy_edges(spark, sf_dir)).withColumn("element", F.lit("edge"))
+    )
+
+
+@register("assemble_features_ml")
+def assemble_features_ml(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embedding by word2vec and presence bits, as text."""
     found = encode.assemble(lossy_nodes(spark, sf_dir), "word2vec")
     return found.select("pattern_id", F.col("features").cast("string").alias("features"))
@@ -296,6 +305,20 @@ def distance_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register(
+    "distance_moments",
+    sql.query(
+        LOSSY,
+        f"select 'node' as element, * from ({sql.moments('n')}) union all"
+        f" select 'edge', * from ({sql.moments('e')})",
+    ),
+)
+def distance_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = cluster.distance_moments(lossy_nodes(spark, sf_dir)).withColumn("element", F.lit("node"))
+    edges = cluster.distance_moments(lossy_edges(spark, sf_dir)).withColumn("element", F.lit("edge"))
+    return nodes.unionByName(edges)
+
+
 @register(
     "lsh_params",
     sql.query(PARAMS, "select 'node' as element, * from nlsh union all select 'edge', * from elsh"),
