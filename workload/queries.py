@@ -698,65 +698,80 @@ def infer_types_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ERROR_SAMPLE = 20
+
+
+def _compared(kind: str) -> str:
+    """Sample against full types of one kind of elements."""
+    return f"""
+{kind}compared as (
+  select '{kind}' as element, s.name, s.dtype as sample_type, f.dtype as full_type,
+    s.support as sample_support, f.support as full_support, abs(s.support - f.support) as delta
+  from (select name, {sql.MAJORITY} as dtype, {sql.SUPPORT} as support from {kind}sample) s
+  join (select name, {sql.MAJORITY} as dtype, {sql.SUPPORT} as support from {kind}full) f
+    on f.name = s.name)"""
+
+
 REPORT = [
     *CLEAN,
-    sql.typing("node").replace("r <= 1000", f"r <= {ERROR_SAMPLE}"),
-    f"""
-compared as (
-  select s.name, s.dtype as sample_type, f.dtype as full_type, s.support as sample_support,
-    f.support as full_support, abs(s.support - f.support) as delta
-  from (select name, {sql.MAJORITY} as dtype, {sql.SUPPORT} as support from nodesample) s
-  join (select name, {sql.MAJORITY} as dtype, {sql.SUPPORT} as support from nodefull) f
-    on f.name = s.name)""",
+    *[sql.typing(k).replace("r <= 1000", f"r <= {ERROR_SAMPLE}") for k in ("node", "edge")],
+    _compared("node"),
+    _compared("edge"),
+    "compared as (select * from nodecompared union all select * from edgecompared)",
 ]
 
 
-def error_report(spark: SparkSession, sf_dir: str) -> infer.TypeErrorReport:
-    return infer.type_error_report(load_graph(spark, sf_dir).nodes, ERROR_SAMPLE)
+def _of_both(spark: SparkSession, sf_dir: str, part: str) -> DataFrame:
+    graph = load_graph(spark, sf_dir)
+    frames = [
+        getattr(infer.type_error_report(elements, ERROR_SAMPLE), part).withColumn("element", F.lit(kind))
+        for kind, elements in (("node", graph.nodes), ("edge", graph.edges))
+    ]
+    return frames[0].unionByName(frames[1])
 
 
 @register(
     "type_error_summary",
     sql.query(
         REPORT,
-        """select count(*) as n_properties, count(*) filter (sample_type = full_type) as n_matches,
+        """select element, count(*) as n_properties, count(*) filter (sample_type = full_type) as n_matches,
           round(avg((sample_type = full_type)::INTEGER::DOUBLE) * 100, 4) as agreement_pct,
-          round(avg(delta) * 100, 4) as avg_delta_pct from compared""",
+          round(avg(delta) * 100, 4) as avg_delta_pct from compared group by element""",
     ),
 )
 def type_error_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return error_report(spark, sf_dir).summary
+    return _of_both(spark, sf_dir, "summary")
 
 
 @register(
     "type_error_histogram",
     sql.query(
         REPORT,
-        """select b.bin, b.low, count(c.delta) as n from (
+        """select e.element, b.bin, b.low, count(c.delta) as n from (
             values (1, 0::DOUBLE, 0.05::DOUBLE), (2, 0.05::DOUBLE, 0.1::DOUBLE),
               (3, 0.1::DOUBLE, 0.2::DOUBLE), (4, 0.2::DOUBLE, 0.3::DOUBLE),
               (5, 0.3::DOUBLE, 9::DOUBLE)) b(bin, low, high)
-          left join compared c on c.delta >= b.low and c.delta < b.high group by b.bin, b.low""",
+          cross join (values ('node'), ('edge')) e(element)
+          left join compared c on c.element = e.element and c.delta >= b.low and c.delta < b.high
+          group by e.element, b.bin, b.low""",
     ),
 )
 def type_error_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return error_report(spark, sf_dir).histogram
+    return _of_both(spark, sf_dir, "histogram")
 
 
-@register(
-    "type_mismatches",
-    sql.query(
-        REPORT,
-        """select name, sample_type, full_type, round(sample_support, 6) as sample_support,
-          round(full_support, 6) as full_support, round(delta, 6) as delta from (
-            select * from compared where sample_type <> full_type
-            order by delta desc, name)""",
-    ),
-)
+def _mismatch_sql(table: str) -> str:
+    return f"""select element, name, sample_type, full_type, round(sample_support, 6) as sample_support,
+      round(full_support, 6) as full_support, round(delta, 6) as delta
+      from {table} where sample_type <> full_type"""
+
+
+@register("type_mismatches", sql.query(REPORT, _mismatch_sql("compared")))
 def type_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = error_report(spark, sf_dir).mismatches
-    rounded = {c: F.round(c, 6) for c in ("sample_support", "full_support", "delta")}
-    return found.withColumns(rounded)
+    return _rounded_report(_of_both(spark, sf_dir, "mismatches"))
+
+
+def _rounded_report(found: DataFrame) -> DataFrame:
+    return found.withColumns({c: F.round(c, 6) for c in ("sample_support", "full_support", "delta")})
 
 
 @register(
