@@ -126,3 +126,26 @@ def test_no_batch_yet(spark, log, tmp_path):
     assert log.read("t") is None and log.segments() == []
     with pytest.raises(ValueError, match="no batch of nodes"):
         schema_from_state(spark, str(tmp_path), "minhash")
+
+
+def test_bare_edges_need_no_more_streams_than_others(spark, tmp_path):
+    """Two streams take in nodes and edges; ends are looked up when patterns are summed."""
+    folder = str(tmp_path)
+    bare = edges(spark, [("a", "b", "T", {}), ("a", "b", "T", {}), (None, "b", None, {"p": "1"})])
+    bare.coalesce(1).write.parquet(f"{folder}/edges")
+    known = nodes(spark, [("a", ["A"], {}), (None, ["N"], {})])
+    known.filter("false").coalesce(1).write.parquet(f"{folder}/nodes")
+    both = streams(spark, folder, {"nodes": known.schema, "edges": bare.schema})
+
+    def counted():
+        update_state(*both, f"{folder}/state")
+        got = edge_pattern_state(spark, f"{folder}/state").collect()
+        return sorted((r.edge_type, r.src_key, r.dst_key, r.n) for r in got)
+
+    assert counted() == [("", "", "", 1), ("T", "", "", 2)]
+    known.coalesce(1).write.mode("append").parquet(f"{folder}/nodes")
+    assert counted() == [("", "", "", 1), ("T", "A", "", 2)]
+    late = nodes(spark, [("b", ["B"], {}), ("a", ["Later"], {})])
+    late.coalesce(1).write.mode("append").parquet(f"{folder}/nodes")
+    assert counted() == [("", "", "B", 1), ("T", "A", "B", 2)]
+    assert len(list((tmp_path / "state" / "_progress").iterdir())) == 2
