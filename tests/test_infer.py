@@ -131,3 +131,20 @@ def test_cardinalities(spark):
 def test_bad_arguments(spark):
     with pytest.raises(ValueError):
         infer.infer_types_sample(typed_nodes(spark), scope="everywhere")
+
+
+def test_values_are_sampled_where_they_are_read(spark):
+    """No join gathers the values of a property; a name without a limit is left out."""
+    rows = nodes(spark, [(f"n{i}", ["A"], {"often": str(i), **({"rare": "x"} if i % 50 == 0 else {})}) for i in range(400)])
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = infer.sample_values(rows, n=20)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        counts = {r["name"]: r["count"] for r in found.groupBy("name").count().collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert counts == {"often": 20, "rare": 8}
+    given = spark.createDataFrame([("rare", 8)], "name string, total bigint")
+    assert {r["name"] for r in infer.sample_values(rows, n=20, totals=given).collect()} == {"rare"}

@@ -74,7 +74,9 @@ def sample_values(
 
     A first filter keeps values with a hash below ``(2n + 100) / total``, which
     leaves about twice what is wanted, so no more than that meets in one task
-    to be ranked, however common the property is.
+    to be ranked, however common the property is.  The limits have a row per
+    property and are broadcast: values are filtered where they are read, and
+    no join gathers those of one property.
     """
     keys = _keys(scope)
     wanted = F.lit(2.0 * n + 100.0)
@@ -91,7 +93,7 @@ def sample_values(
             id_col.alias("id"), *keys[:-1], "props", F.explode("prop_set").alias("name")
         )
         .withColumn("draw", _draw(F.col("id"), F.col("name")))
-        .join(limits, keys)
+        .join(F.broadcast(limits), keys)
         .filter(F.col("draw") < F.col("below"))
         .select("id", *keys, F.try_element_at("props", F.col("name")).alias("value"), "draw")
     )
