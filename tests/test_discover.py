@@ -133,3 +133,20 @@ def test_one_scan_gives_the_patterns_of_every_cell(graph):
             for name in ("nodes", "edges", "truth"):
                 a, b = getattr(cell, name), getattr(tables, name)
                 assert rows_of(a.select(b.columns)) == rows_of(b)
+
+
+def test_draws_are_counted_before_they_go_to_the_cells(graph, monkeypatch):
+    monkeypatch.setattr("typeloom.plans.robustness.pin", lambda df: df)
+    grid = grid_patterns(graph, noise=(0.4, 0.0, 0.4), loss=(0.5,))
+    for table in (grid.truth, grid.edges):
+        todo, cells = [table._jdf.queryExecution().optimizedPlan()], []
+        while todo:
+            node = todo.pop()
+            if node.nodeName() == "Generate" and "noise_rank" in node.simpleString(1000):
+                cells.append("Aggregate" in node.child().toString())
+            todo += [node.children().apply(i) for i in range(node.children().length())]
+        assert cells and all(cells)
+    # a level that is given twice counts twice
+    one = grid_patterns(graph, noise=(0.4,), loss=(0.5,))
+    total = {t: t.filter("noise = 0.4").agg(F.sum("n")).first()[0] for t in (grid.edges, one.edges)}
+    assert total[grid.edges] == 2 * total[one.edges]
