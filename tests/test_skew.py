@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from helpers import edges, nodes
 from typeloom.functions.skew import SHARE, hot_keys, split_join
 from typeloom.model import endpoint_labels
+from typeloom.operators.patterns import edge_patterns
 from typeloom.operators.setjoin import connected_components
 
 
@@ -74,3 +75,27 @@ def test_components_of_shapes(spark, shape):
     links = spark.createDataFrame([*pairs, (3000, 3000)], "left_id bigint, right_id bigint")
     got = {r["id"]: r["component"] for r in connected_components(ids, links).collect()}
     assert got == {**dict.fromkeys(members, min(members)), 2000: 2000, 2001: 2001}
+
+
+def _join_outputs(df):
+    """Names of the columns that the joins of the optimized plan give."""
+    plan, found = df._jdf.queryExecution().optimizedPlan(), []
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "Join":
+            found.append({node.output().apply(i).name() for i in range(node.output().length())})
+        todo += [node.children().apply(i) for i in range(node.children().length())]
+    return found
+
+
+def test_patterns_shuffle_no_edge_ids(spark):
+    links = edges(spark, [("a", "b", "T", {"p": "1"}), ("a", None, "T", {}), (None, "b", None, {})])
+    known = nodes(spark, [("a", ["", "B", "A"], {}), ("a", ["C"], {}), ("b", None, {}), ("b", ["D"], {}), (None, ["N"], {})])
+    found = edge_patterns(endpoint_labels(links, known))
+    wide = [names for names in _join_outputs(found) if {"src_labels", "dst_labels"} & names]
+    assert wide and not any("edge_id" in names for names in wide)
+    got = sorted((r.edge_type, r.src_key, r.dst_key, r.prop_set, r.n) for r in found.collect())
+    assert got == [("", "", "D", [], 1), ("T", "A:B:C", "", [], 1), ("T", "A:B:C", "D", ["p"], 1)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "shuffle_hash" in plan
