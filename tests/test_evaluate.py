@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import nodes
 from typeloom.operators import evaluate
@@ -85,3 +86,19 @@ def test_no_rows_score_nothing(spark):
     frame, _ = rows(spark)
     row = evaluate.evaluate_nodes(frame.limit(0)).first()
     assert tuple(row) == (0, 0, 0, 0.0, 0.0, 0.0)
+
+
+def test_assignment_broadcasts_small_lookups(spark):
+    """Edges meet their patterns and types where they are; Spark alone would shuffle all for a pinned table."""
+    from helpers import edges, nodes
+    from typeloom.functions.sizing import pin
+    from typeloom.model import endpoint_labels
+    from typeloom.operators import merge, patterns
+
+    links = endpoint_labels(edges(spark, [("a", "b", "T", {})] * 4), nodes(spark, [("a", ["A"], {}), ("b", ["B"], {})]))
+    found = pin(patterns.edge_patterns(links)).withColumn("cluster_id", F.lit("c"))
+    merged = merge.merge_edges(pin(found))
+    rows = evaluate.edge_eval_rows(merge.assign_edges(links, merged.typed), merged.types)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") == 2
+    assert rows.count() == 4
+    assert evaluate.evaluate_edges(rows).first()["tp"] == 4

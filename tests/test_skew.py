@@ -99,3 +99,39 @@ def test_patterns_shuffle_no_edge_ids(spark):
     assert got == [("", "", "D", [], 1), ("T", "A:B:C", "", [], 1), ("T", "A:B:C", "D", ["p"], 1)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "shuffle_hash" in plan
+
+
+def _outputs(df):
+    """Names that the operators of the optimized plan above its sources give."""
+    found, todo = set(), [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        below = [node.children().apply(i) for i in range(node.children().length())]
+        if below:
+            found |= {node.output().apply(i).name() for i in range(node.output().length())}
+        todo += below
+    return found
+
+
+def test_patterns_read_no_edge_ids(spark):
+    """An id may be a digest of the whole row, which patterns have no use for."""
+    links = edges(spark, [("a", "b", "T", {})] * 3)
+    found = _outputs(edge_patterns(endpoint_labels(links, nodes(spark, [("a", ["A"], {})]))))
+    assert "src_labels" in found and "edge_id" not in found
+
+
+def test_ends_that_are_hubs_missing_or_shared(spark):
+    rows = [("hub", "gone", "T", {})] * 300 + [("hub", None, "T", {})] * 20 + [(None, "a", "T", {}), ("a", "hub", "U", {"p": "1"})]
+    known = nodes(spark, [("hub", ["H"], {}), ("hub", ["G", "H"], {}), ("a", None, {}), ("a", ["A"], {}), (None, ["N"], {})])
+    links = edges(spark, rows)
+    found = endpoint_labels(links, known)
+    assert found.columns == [*links.columns, "src_labels", "dst_labels"]
+    labels = {"hub": ["G", "H"], "a": ["A"]}
+    got = {r.edge_id: (r.src_id, r.dst_id, r.src_labels, r.dst_labels) for r in found.collect()}
+    assert got == {f"e{i}": (s, d, labels.get(s, []), labels.get(d, [])) for i, (s, d, *_) in enumerate(rows)}
+    assert found.count() == len(rows)
+
+
+def test_no_hot_key_among_many(spark):
+    rows = spark.range(20000).select(F.col("id").cast("string").alias("a"), F.lit(None).cast("string").alias("b"))
+    assert hot_keys(rows, "a", "b").collect() == []
