@@ -213,3 +213,20 @@ def test_shouting_takes_time_in_proportion(spark):
     start = time.time()
     verdicts = spark.createDataFrame(long, "x string").select(line_fails(F.col("x"))).collect()
     assert time.time() - start < 30 and verdicts[-1][0]
+
+
+def test_patterns_are_searched_once(spark):
+    """Every mention of the pattern in the expression would be a search of its own."""
+    found = pii.located(F.col("text"), "ab+", F.lit(True))
+    assert str(found).count("ab+") == 1
+    docs = spark.createDataFrame(
+        [("abxabb\U0001f600ab",), ("none",), ("",), ("\uffffab\uffffx\ufffeab",), (None,)], "text string"
+    )
+    got = [[tuple(s) for s in r[0] or ()] for r in docs.select(found).collect()]
+    assert got == [
+        [("ab", 0, 2, "", "x"), ("abb", 3, 6, "x", "\U0001f600"), ("ab", 7, 9, "\U0001f600", "")],
+        [],
+        [],
+        [("ab", 1, 3, "\ufffe", "\ufffex\ufffe"), ("ab", 6, 8, "\ufffex\ufffe", "")],
+        [],
+    ]

@@ -90,12 +90,13 @@ def test_no_rows_score_nothing(spark):
 
 def test_assignment_broadcasts_small_lookups(spark):
     """Edges meet their patterns and types where they are; Spark alone would shuffle all for a pinned table."""
-    from helpers import edges, nodes
+    from helpers import edges
     from typeloom.functions.sizing import pin
-    from typeloom.model import endpoint_labels
     from typeloom.operators import merge, patterns
 
-    links = endpoint_labels(edges(spark, [("a", "b", "T", {})] * 4), nodes(spark, [("a", ["A"], {}), ("b", ["B"], {})]))
+    links = edges(spark, [("a", "b", "T", {})] * 4).withColumns(
+        {"src_labels": F.array(F.lit("A")), "dst_labels": F.array(F.lit("B"))}
+    )
     found = pin(patterns.edge_patterns(links)).withColumn("cluster_id", F.lit("c"))
     merged = merge.merge_edges(pin(found))
     rows = evaluate.edge_eval_rows(merge.assign_edges(links, merged.typed), merged.types)

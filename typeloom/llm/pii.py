@@ -31,6 +31,8 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BASE_KINDS = ("email", "ip", "card", "phone")
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
 
+#: Noncharacters, which are neither letters, digits nor white space.
+MARK, UNMARKED = "\uffff", "\ufffe"
 #: Characters on either side that the context labelers see.
 CONTEXT = 48
 FIELDS = (
@@ -113,39 +115,53 @@ class VoteModel:
 def located(text: Column, pattern: str, when: Column) -> Column:
     """Array of (text, start, end, before, after) of a pattern's matches, in code points.
 
-    The texts between matches are what ``split`` leaves, so places are running sums
-    of lengths.
+    The pattern, which matches no empty text, is searched for once: its matches are set between marks,
+    and the text is cut at these into gaps and matches in turn, so places are running sums of lengths.
+    A mark that the text has itself counts as another noncharacter, of the same length, to the pattern.
     """
     kind = "array<struct<text: string, start: int, end: int, before: string, after: string>>"
-    gaps = F.split(text, pattern)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    rows = F.zip_with(
-        F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("gap"), m.alias("text"))),
-        F.slice(gaps, 2, F.size(gaps)),
-        lambda x, after: F.struct(x["gap"].alias("gap"), x["text"].alias("text"), after.alias("after")),
-    )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("spans"))
-    spans = F.aggregate(
-        F.filter(rows, lambda x: x["text"].isNotNull()),
-        start,
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["gap"]) + F.length(x["text"])).alias("at"),
-            F.concat(
-                acc["spans"],
-                F.array(
-                    F.struct(
-                        x["text"].alias("text"),
-                        (acc["at"] + F.length(x["gap"])).alias("start"),
-                        (acc["at"] + F.length(x["gap"]) + F.length(x["text"])).alias("end"),
-                        F.right(x["gap"], F.lit(CONTEXT)).alias("before"),
-                        F.substring(x["after"], 1, CONTEXT).alias("after"),
-                    )
-                ),
-            ).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    return F.when(when, spans).otherwise(F.array().cast(kind))
+    plain = F.when(text.contains(MARK), F.translate(text, MARK, UNMARKED)).otherwise(text)
+    pieces = F.split(F.regexp_replace(plain, pattern, f"{MARK}$0{MARK}"), MARK)
+
+    def spans(p: Column) -> Column:
+        turns = F.transform(
+            p,
+            lambda x, i: F.struct(
+                x.alias("text"),
+                (i % 2 == 1).alias("match"),
+                F.get(p, i - 1).alias("before"),
+                F.get(p, i + 1).alias("after"),
+            ),
+        )
+        return F.aggregate(
+            turns,
+            F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("spans")),
+            lambda acc, x: F.struct(
+                (acc["at"] + F.length(x["text"])).alias("at"),
+                F.when(
+                    x["match"],
+                    F.concat(
+                        acc["spans"],
+                        F.array(
+                            F.struct(
+                                x["text"].alias("text"),
+                                acc["at"].alias("start"),
+                                (acc["at"] + F.length(x["text"])).alias("end"),
+                                F.right(x["before"], F.lit(CONTEXT)).alias("before"),
+                                F.substring(x["after"], 1, CONTEXT).alias("after"),
+                            )
+                        ),
+                    ),
+                )
+                .otherwise(acc["spans"])
+                .alias("spans"),
+            ),
+            lambda acc: acc["spans"],
+        )
+
+    # a lambda's variable is computed once, however often it is used
+    found = F.get(F.transform(F.array(pieces), spans), F.lit(0))
+    return F.when(when, found).otherwise(F.array().cast(kind))
 
 
 def _of_kind(spans: Column, kind: int) -> Column:
