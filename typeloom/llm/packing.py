@@ -10,6 +10,7 @@ last is padded.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -33,6 +34,8 @@ KEPT_WORDS = 600_000
 TOGETHER = 20_000
 #: Signs beyond ASCII that are neither letters nor digits; a tokenizer may drop or change them.
 ODD_SIGN = re.compile(r"[^!-~\w]")
+#: ASCII that Python takes for white space and tokenizers do not drop.
+OTHER_BLANKS = "\x0b\x0c\x1c\x1d\x1e\x1f"
 #: Without these, lower-casing the text first changes no id.
 NOT_PLAIN = re.compile("<[|]|[İɐ-\U0010ffff]")
 
@@ -57,6 +60,7 @@ class WordEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.bare = without_normalizer(self.tokenizer)
         self.kept = Kept()
         # Bytes of a token: one for each letter of its name, which may end in a mark of the word's end.
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None) or ""
@@ -75,7 +79,7 @@ class WordEncoder:
         """Ids of words that the tokenizer's normal form leaves as they are."""
         for start in range(0, len(words), TOGETHER):
             part = words[start : start + TOGETHER]
-            found = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0]
+            found = self.bare.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0]
             ids = np.array(found.ids, "<u4")
             ends = np.cumsum([len(w) if w.isascii() else len(w.encode()) for w in part])
             reached = np.cumsum(self.sizes[ids])
@@ -103,10 +107,25 @@ class WordEncoder:
         return [np.frombuffer(b"".join(map(kept.__getitem__, row)), "<u4") for row in words]
 
 
+def without_normalizer(tokenizer: Tokenizer) -> Tokenizer:
+    """The same for plain words, without the steps that leave these as they are, where it has no others."""
+    steps = json.loads(tokenizer.to_str())["normalizer"]
+    steps = steps["normalizers"] if steps and steps["type"] == "Sequence" else [steps]
+    blanks = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    if not all(step in (None, {"type": "NFC"}, {"type": "Lowercase"}, blanks) for step in steps):
+        return tokenizer
+    bare = Tokenizer(tokenizer.model)
+    if tokenizer.pre_tokenizer is not None:
+        bare.pre_tokenizer = tokenizer.pre_tokenizer
+    return bare
+
+
 def words_of(text: str) -> list[str]:
     """What stands between white space of the kind that every tokenizer here drops, in lower case."""
     if not (NOT_PLAIN.search(text) if not text.isascii() else "<|" in text):
         text = text.lower()
+    if text.isascii() and not any(blank in text for blank in OTHER_BLANKS):
+        return text.split()
     for blank in "\t\n\r":
         text = text.replace(blank, " ")
     return [w for w in text.split(" ") if w]
