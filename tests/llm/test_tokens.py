@@ -120,7 +120,7 @@ def test_a_full_cache_changes_no_id(monkeypatch):
 
 
 def test_plain_words_skip_the_normalizer():
-    path = public_tokenizers.path("word_bpe_49k.json")
+    path = P.path("word_bpe_49k.json")
     encoder = WordEncoder(path)
     assert encoder.bare.normalizer is None
     texts = ["a\x0bb c\x1cd\x1f  E\t\r\nf", "A<|endoftext|>b <|x", "Ünï é é ǅ İ x\xa0y z", "don't 12ab ---- \x00 a\x7fb", ""]
