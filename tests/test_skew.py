@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import edges, nodes
+from typeloom.functions.sizing import pin
 from typeloom.functions.skew import SHARE, hot_keys, split_join
 from typeloom.model import endpoint_labels
+from typeloom.operators import setjoin
 from typeloom.operators.patterns import edge_patterns
 from typeloom.operators.setjoin import connected_components
 
@@ -135,3 +137,26 @@ def test_ends_that_are_hubs_missing_or_shared(spark):
 def test_no_hot_key_among_many(spark):
     rows = spark.range(20000).select(F.col("id").cast("string").alias("a"), F.lit(None).cast("string").alias("b"))
     assert hot_keys(rows, "a", "b").collect() == []
+
+
+def test_rounds_over_few_links_are_few_tasks(spark, monkeypatch):
+    """However many partitions a shuffle has, a task takes TASK_LINKS links; many links keep many tasks."""
+    shuffled = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    kept = []
+    monkeypatch.setattr(setjoin, "pin", lambda df: kept.append(pin(df)) or kept[-1])
+    try:
+        ids = spark.range(80).select("id")
+        links = ids.select(F.col("id").alias("left_id"), (F.col("id") + 8).alias("right_id")).filter("right_id < 80")
+        for least, links_a_task, most in ((3, 1000, 3), (1, 10, 8)):
+            monkeypatch.setattr(setjoin, "LEAST_TASKS", least)
+            monkeypatch.setattr(setjoin, "TASK_LINKS", links_a_task)
+            kept.clear()
+            got = {r["id"]: r["component"] for r in connected_components(ids, links).collect()}
+            assert got == {i: i % 8 for i in range(80)}
+            partitions = [df.rdd.getNumPartitions() for df in kept[1:-1]]  # without what comes in and goes out
+            assert partitions and max(partitions) == most
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", shuffled)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
