@@ -230,3 +230,12 @@ def test_patterns_are_searched_once(spark):
         [("ab", 1, 3, "\ufffe", "\ufffex\ufffe"), ("ab", 6, 8, "\ufffex\ufffe", "")],
         [],
     ]
+
+
+def test_texts_are_matched_and_cut_in_one_pass(spark):
+    """Each further Python step of a task has a worker of its own, which stays with all it keeps."""
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, None), (3, "x y"), (4, "b c d")], "doc_id long, text string")
+    items = spark.createDataFrame([("i", "b c d")], "item_id string, text string")
+    left = decontaminate(docs, items, size=3, max_coverage=0.8)
+    assert left._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted(map(tuple, left.collect())) == [(1, "a  e"), (2, None), (3, "x y")]

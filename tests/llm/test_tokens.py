@@ -5,10 +5,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from frames import ODD, odd_docs, rows_of
+from typeloom.llm import common, packing
 from typeloom.llm.packing import WordEncoder, pack
 from typeloom.llm.token_counts import (
     class_table,
@@ -126,3 +128,24 @@ def test_plain_words_skip_the_normalizer():
     texts = ["a\x0bb c\x1cd\x1f  E\t\r\nf", "A<|endoftext|>b <|x", "Ünï é é ǅ İ x\xa0y z", "don't 12ab ---- \x00 a\x7fb", ""]
     want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     assert [ids.tolist() for ids in encoder.encode(texts)] == want
+
+
+def test_words_of_one_call_are_not_kept(spark, monkeypatch):
+    """What KEPT_WORDS leaves out goes once its texts are encoded."""
+    monkeypatch.setattr(packing, "KEPT_WORDS", 2)
+    encoder = WordEncoder(WORDS)
+    encoder.encode(["some words that are not kept"])
+    assert len(encoder.kept) == 2 and not encoder.kept.others
+
+
+def test_arrow_gives_memory_back_between_batches(monkeypatch):
+    calls = []
+
+    class Pool:
+        def release_unused(self):
+            calls.append(1)
+
+    monkeypatch.setattr(common.pa, "default_memory_pool", Pool)
+    batches = [pa.RecordBatch.from_arrays([pa.array(t)], ["text"]) for t in (["a", None], ["b"])]
+    assert [texts for _, texts in common.text_slices(batches)] == [["a", ""], ["b"]]
+    assert len(calls) == 2

@@ -192,14 +192,22 @@ def _blocks(benchmark: DataFrame, item_column: str, text_column: str, size: int,
 SPANS = "array<struct<begin: int, end: int>>"
 
 
-def _matched(docs, benchmark, size, text_column, item_column, item_text, block_words) -> DataFrame:
-    """``docs`` with its columns renamed c0, c1, ... and n_words, spans, item_names, longest_match."""
+def _matched(
+    docs, benchmark, size, text_column, item_column, item_text, block_words, cut: bool = False
+) -> DataFrame:
+    """``docs`` with its columns renamed c0, c1, ... and n_words, spans, item_names, longest_match.
+
+    With ``cut`` the texts lose their spans in the same pass: a step of its own would have a Python
+    worker more for each task, and all of them are used again by what comes later.
+    """
     context = docs.sparkSession.sparkContext
     shared = [
         context.broadcast(block)
         for block in _blocks(benchmark, item_column, item_text, size, block_words)
     ]
 
+    place = f"c{docs.columns.index(text_column)}"
+
     def match(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only = pickle.loads(shared[0].value) if len(shared) == 1 else None
         for batch, texts in text_slices(batches, "match_text"):
@@ -215,11 +223,16 @@ def _matched(docs, benchmark, size, text_column, item_column, item_text, block_w
                     spans[i] += found
                     for item in items:
                         names[i].update(automaton.names[item])
+            spans = [_joined(s) for s in spans]
             columns = {c: batch.column(c) for c in batch.schema.names if c != "match_text"}
+            if cut:
+                left = columns[place].to_pylist()
+                left = [remove_spans(t, s) if s else t for t, s in zip(left, spans, strict=True)]
+                columns[place] = pa.array(left, pa.string())
             columns |= {
                 "n_words": pa.array(map(len, words), pa.int64()),
                 "spans": pa.array(
-                    [[{"begin": b, "end": e} for b, e in _joined(s)] for s in spans],
+                    [[{"begin": b, "end": e} for b, e in s] for s in spans],
                     pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])),
                 ),
                 "item_names": pa.array([sorted(s) for s in names], pa.list_(pa.string())),
@@ -228,7 +241,7 @@ def _matched(docs, benchmark, size, text_column, item_column, item_text, block_w
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     numbered = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
-    text = F.col(f"c{docs.columns.index(text_column)}").cast("string")
+    text = F.col(place).cast("string")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in numbered.schema)
     return numbered.withColumn("match_text", F.coalesce(text, F.lit(""))).mapInArrow(
         match,
@@ -318,20 +331,6 @@ def decontaminate(
     which more than ``max_coverage`` was hit goes as a whole.  Texts without a
     hit, null and empty ones included, stay as they are.
     """
-    found = _matched(docs, benchmark, size, text_column, item_column, item_text, block_words)
+    found = _matched(docs, benchmark, size, text_column, item_column, item_text, block_words, cut=True)
     kept = found.filter(hit_words() <= F.col("n_words") * max_coverage)
-    numbered = [c for c in found.columns if c[0] == "c"]
-    place = docs.columns.index(text_column)
-
-    def cleaned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [batch.column(c) for c in numbered]
-            texts = columns[place].to_pylist()
-            for i, spans in enumerate(batch.column("spans")):
-                if len(spans):
-                    texts[i] = remove_spans(texts[i], [(s["begin"], s["end"]) for s in spans.as_py()])
-            columns[place] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, numbered)
-
-    schema = ", ".join(f"{c} {found.schema[c].dataType.simpleString()}" for c in numbered)
-    return kept.mapInArrow(cleaned, schema).toDF(*docs.columns)
+    return kept.select(*(c for c in found.columns if c[0] == "c")).toDF(*docs.columns)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from typeloom.functions.sizing import work_folder
-from typeloom.llm.common import text_or_empty, text_slices, worker_cache
+from typeloom.llm.common import released, text_or_empty, text_slices, worker_cache
 
 #: Words whose ids a worker keeps.
 KEPT_WORDS = 600_000
@@ -104,7 +104,9 @@ class WordEncoder:
         # the commonest words are there already, or come now
         kept.update(islice(fresh.items(), max(0, KEPT_WORDS - len(kept))))
         kept.others = fresh
-        return [np.frombuffer(b"".join(map(kept.__getitem__, row)), "<u4") for row in words]
+        found = [np.frombuffer(b"".join(map(kept.__getitem__, row)), "<u4") for row in words]
+        kept.others = {}
+        return found
 
 
 def without_normalizer(tokenizer: Tokenizer) -> Tokenizer:
@@ -196,7 +198,7 @@ def concatenate_and_cut(encoded: DataFrame, window: int) -> DataFrame:
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base_of = shared.value
         worker_cache("pieces", dict)  # words that this worker may keep are no longer needed
-        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
+        for batch in (b.slice(i, 500) for b in released(batches) for i in range(0, b.num_rows, 500)):
             rows, starts, lengths, pieces, sequences, offsets = [], [], [], [], [], []
             columns = [batch.column(c).to_pylist() for c in ("part", "start", "n")]
             ids = batch.column("ids")
