@@ -160,3 +160,29 @@ def test_rounds_over_few_links_are_few_tasks(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", shuffled)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_few_links_are_joined_in_few_tasks_without_looking_for_hubs(spark, monkeypatch):
+    """Hubs are looked for once LEAST_TASKS tasks no longer hold all links; the components are the same."""
+    kept, looked = [], []
+    monkeypatch.setattr(setjoin, "pin", lambda df: kept.append(pin(df)) or kept[-1])
+    monkeypatch.setattr(setjoin, "hot_keys", lambda *a: looked.append(a) or hot_keys(*a))
+    ids = spark.range(-1, 700).select("id")
+    hub = ids.select(F.lit(1).cast("long").alias("left_id"), F.col("id").alias("right_id")).filter("id between 2 and 400")
+    chain = ids.select("id", F.col("id") + 1).filter("id >= 500 and id < 520")
+    twice = spark.createDataFrame([(600, 601), (601, 600), (601, 601), (None, 602)], "left_id long, right_id long")
+    links = hub.union(chain).union(twice).repartition(16)
+    want = {i: i for i in range(-1, 700)} | dict.fromkeys(range(1, 401), 1) | dict.fromkeys(range(500, 521), 500)
+    want[601] = 600
+    shuffled = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "48")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert {r["id"]: r["component"] for r in connected_components(ids, links).collect()} == want
+        assert not looked and max(df.rdd.getNumPartitions() for df in kept[1:-1]) <= 4
+        monkeypatch.setattr(setjoin, "TASK_LINKS", 50)
+        assert {r["id"]: r["component"] for r in connected_components(ids, links).collect()} == want
+        assert looked
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", shuffled)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
