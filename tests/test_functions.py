@@ -1,7 +1,8 @@
 from pyspark.sql import functions as F
 
-from typeloom.functions.hashing import code32, code32_of, hash01
+from typeloom.functions.hashing import code32, code32_of, hash01, packed, unpacked
 from typeloom.functions.labels import clean_set, label_key, pg_type, xsd_type
+from typeloom.functions.sizing import FREED, keep, pin, shuffles_freed
 from typeloom.functions.values import flag_columns, is_date
 
 # value -> integer, double, date (lenient), boolean, ip
@@ -91,3 +92,46 @@ def test_hash_codes_agree_with_the_driver(spark):
     for r in rows:
         assert r["c"] == code32_of(r["x"])
         assert 0 <= r["h"] < 1
+
+
+def test_packed_text_comes_back(spark):
+    md5 = "c4ca4238a0b923820dcc509a6f75849b"
+    texts = ["", "a", "0", "00", "ab", "AB", "aB", "abc", "\x00", "\x01\x01", "é", "O:12", " 12", md5, md5.upper(), None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("p", packed(F.col("t")))
+    got = rows.select("t", unpacked(F.col("p")).alias("back"), F.length("p").alias("size")).collect()
+    assert all(r["back"] == r["t"] for r in got)
+    assert {r["t"]: r["size"] for r in got}[md5] == 17
+    odd = spark.range(1).select(F.unhex(F.lit("ff41")).cast("string").alias("t"))  # no UTF-8
+    same = F.hex("t") == F.hex(unpacked(packed(F.col("t"))))
+    assert odd.select(same).first()[0]
+
+
+def _held(spark):
+    """Shuffle files on disk."""
+    manager = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    found = manager.getAllFiles()
+    names = (found.apply(i).getName() for i in range(found.size()))
+    return {n for n in names if n.startswith("shuffle_") and n.endswith(".data")}
+
+
+def test_what_is_pinned_or_kept_holds_no_shuffle(spark):
+    before = _held(spark)
+    counts = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    for make in (pin, keep):
+        held = make(counts)
+        assert held.columns == counts.columns and sorted(held.collect()) == sorted(counts.collect())
+        counts = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    spark.range(1000).groupBy((F.col("id") % 5).alias("k")).count().collect()
+    other = _held(spark)
+    pin(counts), keep(counts)
+    assert not _held(spark) - other
+    assert other - before  # those of plain runs stay
+
+
+def test_the_setting_of_freed_shuffles_is_put_back(spark):
+    default = spark.conf.get(FREED)
+    with shuffles_freed(spark):
+        with shuffles_freed(spark):
+            assert spark.conf.get(FREED) == "true"
+        assert spark.conf.get(FREED) == "true"
+    assert spark.conf.get(FREED) == default

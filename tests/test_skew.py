@@ -186,3 +186,23 @@ def test_few_links_are_joined_in_few_tasks_without_looking_for_hubs(spark, monke
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", shuffled)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_edge_ids_are_shuffled_as_bytes(spark):
+    some = nodes(spark, [("a", ["A"], {}), ("b", ["B"], {})])
+    links = edges(spark, [("a", "b", "T", {}), ("b", "x", "T", {})]).withColumn(
+        "edge_id", F.when(F.col("dst_id") == "b", F.md5("edge_id")).otherwise(F.lit("plain-ID"))
+    )
+    out = endpoint_labels(links, some)
+    todo, carried = [out._jdf.queryExecution().optimizedPlan()], []
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "Join" and "_key" in node.simpleString(100):  # not those with hot nodes, which are broadcast
+            columns = node.left().output()
+            columns = [columns.apply(i) for i in range(columns.length())]
+            carried += [c.dataType().typeName() for c in columns if c.name() == "edge_id"]
+        todo += [node.children().apply(i) for i in range(node.children().length())]
+    assert carried == ["binary", "binary"]
+    got = {(r["edge_id"], tuple(r["src_labels"]), tuple(r["dst_labels"])) for r in out.collect()}
+    md5 = links.filter("dst_id = 'b'").first()["edge_id"]
+    assert got == {(md5, ("A",), ("B",)), ("plain-ID", ("B",), ())}
