@@ -8,6 +8,7 @@ from typeloom.plans import damaged
 from typeloom.plans.discovery import pattern_tables
 from typeloom.plans.robustness import cell_of, grid_patterns
 from typeloom.streaming import update_state
+from workload import queries
 
 
 @pytest.fixture(scope="module")
@@ -150,3 +151,13 @@ def test_draws_are_counted_before_they_go_to_the_cells(graph, monkeypatch):
     one = grid_patterns(graph, noise=(0.4,), loss=(0.5,))
     total = {t: t.filter("noise = 0.4").agg(F.sum("n")).first()[0] for t in (grid.edges, one.edges)}
     assert total[grid.edges] == 2 * total[one.edges]
+
+
+def test_edges_with_ids_are_labelled_once(spark, graph, monkeypatch):
+    monkeypatch.setattr(queries, "lossy_graph", lambda spark, sf_dir: graph)
+    once, types = queries.assigned_edges(spark, "", ids=True)
+    twice, _ = queries.assigned_edges(spark, "")
+    columns = ["edge_id", "type_id", "edge_type", "src_labels", "dst_labels"]
+    assert rows_of(once.select(columns)) == rows_of(twice.select(columns)) and types.count()
+    assert "_src_key" not in once._jdf.queryExecution().optimizedPlan().toString()
+    assert "_src_key" in twice._jdf.queryExecution().optimizedPlan().toString()
