@@ -5,12 +5,14 @@ from pyspark.sql import functions as F
 
 from helpers import edges, nodes
 from typeloom.model import PropertyGraph
+from typeloom.operators.cardinality import distinct_pairs
 from typeloom.operators.patterns import edge_patterns
 from typeloom.plans import discover
 from typeloom.plans.robustness import damaged
 from typeloom.streaming import schema_from_state, update_state
-from typeloom.streaming.incremental import edge_pattern_state
+from typeloom.streaming.incremental import edge_pair_state, edge_pattern_state, read_state
 from typeloom.streaming.statelog import StateLog
+from workload import queries
 
 
 @pytest.fixture(scope="module")
@@ -149,3 +151,16 @@ def test_bare_edges_need_no_more_streams_than_others(spark, tmp_path):
     late.coalesce(1).write.mode("append").parquet(f"{folder}/nodes")
     assert counted() == [("", "", "B", 1), ("T", "A", "B", 2)]
     assert len(list((tmp_path / "state" / "_progress").iterdir())) == 2
+
+
+@pytest.mark.parametrize("bare", [False, True])
+def test_streamed_edges_carry_no_ids_and_pairs_are_kept_once(spark, graph, monkeypatch, bare):
+    monkeypatch.setattr(queries, "lossy_graph", lambda spark, sf_dir: graph)
+    state = queries.stream_state(spark, "", bare)
+    assert "edge_id" not in spark.read.parquet(f"{state}/../edges").columns
+    pairs = distinct_pairs(graph.edges)
+    assert read_state(spark, state, "edge_pairs").count() == (0 if bare else pairs.count())
+    assert rows_of(edge_pair_state(spark, state)) == rows_of(pairs)
+    schema, whole = schema_from_state(spark, state, "minhash"), discover(graph, "minhash")
+    assert rows_of(schema.node_types) == rows_of(whole.node_types)
+    assert rows_of(schema.edge_types) == rows_of(whole.edge_types)
